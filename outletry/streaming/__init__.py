@@ -1,0 +1 @@
+"""Intentionally empty: every source of this workload is a finished batch table."""
