@@ -12,13 +12,14 @@ _INF = float("inf")
 
 
 def finite(value: Column) -> Column:
-    """Null in place of NaN and infinities."""
-    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(_INF)), value)
+    """Null in place of NaN (which sorts above infinity) and infinities."""
+    return F.when(F.abs(value) < F.lit(_INF), value)
 
 
 def to_number(text: Column) -> Column:
     """Double from text, null where it is not a number (a Java type suffix such as ``1d`` is none)."""
-    return finite(F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double")))
+    suffixed = F.right(F.trim(text), F.lit(1)).isin("d", "D", "f", "F")
+    return finite(F.when(~suffixed, text.try_cast("double")))
 
 
 def bad_number(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -11,28 +12,36 @@ from outletry.config import NULL_TOKENS
 
 
 def squash(text: Column) -> Column:
-    """Trim and turn every run of white space into one blank."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Trim and turn every run of white space into one blank.
+
+    Most texts are tidy, and searching one is cheaper than rewriting it.
+    """
+    untidy = text.rlike(r"\s\s|[\t\n\x0B\f\r]")
+    return F.trim(F.when(untidy, F.regexp_replace(text, r"\s+", " ")).otherwise(text))
 
 
 def null_if_token(text: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     """Squashed text, or null where it is one of the words that stand for a missing value."""
     clean = squash(text)
-    return F.when(~F.lower(clean).isin(*tokens), clean)
+    words = "|".join(re.escape(t.strip()) for t in tokens)
+    return F.when(~clean.rlike(f"(?i)^(?:{words})$"), clean)
 
 
 def title_case(text: Column) -> Column:
-    """Upper-case the first letter of every run of letters (``initcap`` only splits on blanks)."""
+    """Upper-case the first letter of every run of letters.
+
+    ``initcap`` only splits on blanks; the runs are taken apart just for texts where that differs.
+    """
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(
+        text.rlike(r"[^\p{L} ]\p{L}"), F.array_join(F.transform(runs, F.initcap), "")
+    ).otherwise(F.initcap(text))
 
 
 def recode(value: Column, mapping: Mapping[str, str]) -> Column:
     """Replace the listed values, keep the others."""
-    chain = F
-    for old, new in mapping.items():
-        chain = chain.when(value == old, F.lit(new))
-    return chain.otherwise(value)
+    pairs = F.create_map(*[F.lit(text) for pair in mapping.items() for text in pair])
+    return F.coalesce(F.element_at(pairs, value), value)
 
 
 def lookup(value: Column, mapping: Mapping, default=None) -> Column:

@@ -17,6 +17,7 @@ from outletry.functions.dates import month_spine
 from outletry.functions.numeric import half_even, ratio
 from outletry.functions.text import lookup
 from outletry.operators.quantiles import group_quantiles
+from outletry.session import stage
 
 
 def yearly_population(
@@ -67,14 +68,15 @@ def monthly_density(
 def fill_density(df: DataFrame) -> DataFrame:
     """Replace missing or zero density by the mean of province and month, province, month or all.
 
-    All four means come from sums and counts per province and month, so the large table is
-    aggregated once. Rows of a hot province are combined before the shuffle.
+    All four means come from sums and counts per province and month. That small table is staged, so
+    the large one is aggregated once; rows of a hot province are combined before the shuffle.
     """
     density = F.col("monthly_density")
-    parts = (
+    parts = stage(
         df.where(density > 0)
         .groupBy("province", "month")
-        .agg(F.sum("monthly_density").alias("_s"), F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("monthly_density").alias("_s"), F.count(F.lit(1)).alias("_c")),
+        "density_totals",
     )
 
     def mean(name: str, *keys: str) -> DataFrame:

@@ -31,11 +31,16 @@ def magnitude_bucket(value: Column) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Mapping[str, float],
+    count_as: str | None = None,
 ) -> DataFrame:
     """One row per key with each quantile of ``wanted`` (name -> fraction), linearly interpolated.
 
     Null values are left out. Groups without any value give no row. Keys must not be null.
+    ``count_as`` names a column for the number of values.
     """
     keys = list(keys)
     constant = not keys
@@ -93,6 +98,7 @@ def group_quantiles(
     )
     out = edges.select(
         *keys,
+        *([F.col("_total").alias(count_as)] if count_as else []),
         *[
             (
                 F.col(f"_lo_{name}")

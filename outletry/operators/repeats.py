@@ -25,10 +25,10 @@ def mark_repeats(
 
     Null key values are equal to each other. With ``among`` only rows fulfilling it take part.
     """
-    counted = df if among is None else df.where(among)
+    counted = F.lit(True) if among is None else among
     repeated = (
-        counted.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        .agg(F.min(F.when(counted, F.col(row_id))).alias("_first"), F.count_if(counted).alias("_n"))
         .where("_n > 1")
         .drop("_n")
     )

@@ -76,62 +76,76 @@ def capped_multiplier(label: Column, value: Column) -> Column:
 def calibrated_multipliers(sales: DataFrame, seasonality: DataFrame) -> DataFrame:
     """Multiplier per distributor and label: its average month against its Moderate average.
 
-    Falls back to the ratio over all distributors, then to the default of the label. The global
-    averages are summed from the distributor averages' own parts, so sales are read once.
+    Falls back to the ratio over all distributors, then to the default of the label. Each
+    distributor's totals per label stand in one row, so neither the comparison with its Moderate
+    months nor the totals over all distributors needs a join.
     """
     monthly = (
         sales.where(F.col("Distributor_ID").isNotNull())
         .groupBy(*KEYS)
-        .agg(F.sum("Volume_Liters").alias("monthly_distributor_liters"))
+        .agg(F.sum("Volume_Liters").alias("_liters"))
+        .join(seasonality.select(*KEYS, LABEL), KEYS)
     )
-    liters = F.col("monthly_distributor_liters")
-    by_label = (
-        monthly.join(seasonality.where(F.col(LABEL).isNotNull()).select(*KEYS, LABEL), KEYS)
-        .groupBy("Distributor_ID", LABEL)
-        .agg(F.sum(liters).alias("_sum"), F.count(liters).alias("_n"))
-        .withColumn("avg_liters_by_label", ratio(F.col("_sum"), F.col("_n")))
-    )
-    # At most one row per label, so the label table is bounded by the list of labels.
-    world = by_label.groupBy(LABEL).agg(
-        ratio(F.sum("_sum"), F.sum("_n")).alias("_world_avg")
+
+    def of_label(name: str, column: str) -> Column:
+        return F.when(F.col(LABEL) == name, F.col(column))
+
+    places = {name: i for i, name in enumerate(SEASONALITY_LABELS)}
+    totals = monthly.groupBy("Distributor_ID").agg(
+        *[F.sum(of_label(name, "_liters")).alias(f"_s{i}") for name, i in places.items()],
+        *[F.count(of_label(name, "_liters")).alias(f"_n{i}") for name, i in places.items()],
     )
-    world_moderate = world.where(F.col(LABEL) == "Moderate").agg(F.max("_world_avg")).scalar()
-    world = world.select(
-        LABEL,
-        F.when(world_moderate > 0, ratio(F.col("_world_avg"), world_moderate))
-        .otherwise(label_multiplier(F.col(LABEL)))
-        .alias("global_multiplier"),
+    world = totals.agg(
+        F.struct(
+            *[ratio(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(f"a{i}") for i in places.values()]
+        )
+    ).scalar()
+    moderate = ratio(F.col(f"_s{places['Moderate']}"), F.col(f"_n{places['Moderate']}"))
+    world_moderate = F.col("_world")[f"a{places['Moderate']}"]
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias(LABEL),
+                ratio(F.col(f"_s{i}"), F.col(f"_n{i}")).alias("avg_liters_by_label"),
+                F.when(world_moderate > 0, ratio(F.col("_world")[f"a{i}"], world_moderate))
+                .otherwise(F.lit(SEASONALITY_MULTIPLIER[name]))
+                .alias("_global"),
+            )
+            for name, i in places.items()
+        ]
     )
-    moderate = by_label.where(F.col(LABEL) == "Moderate").select(
-        "Distributor_ID", F.col("avg_liters_by_label").alias("moderate_avg_liters")
+    rows = (
+        totals.withColumn("_world", world)
+        .select("Distributor_ID", moderate.alias("moderate_avg_liters"), F.explode(entries).alias("_e"))
+        .select("Distributor_ID", "moderate_avg_liters", "_e.*")
+        .where(F.col("avg_liters_by_label").isNotNull())
     )
     own = ratio(F.col("avg_liters_by_label"), F.col("moderate_avg_liters"))
-    return (
-        by_label.join(moderate, "Distributor_ID", "left")
-        .join(F.broadcast(world), LABEL, "left")
-        .select(
-            "Distributor_ID",
-            LABEL,
-            "avg_liters_by_label",
-            "moderate_avg_liters",
-            capped_multiplier(
-                F.col(LABEL),
-                F.coalesce(own, F.col("global_multiplier"), label_multiplier(F.col(LABEL))),
-            ).alias("seasonality_multiplier_calibrated"),
-            F.when(own.isNotNull(), "distributor_calculated")
-            .otherwise("global_calculated")
-            .alias("seasonality_multiplier_source"),
-        )
+    return rows.select(
+        "Distributor_ID",
+        LABEL,
+        "avg_liters_by_label",
+        "moderate_avg_liters",
+        capped_multiplier(
+            F.col(LABEL), F.coalesce(own, F.col("_global"), label_multiplier(F.col(LABEL)))
+        ).alias("seasonality_multiplier_calibrated"),
+        F.when(own.isNotNull(), "distributor_calculated")
+        .otherwise("global_calculated")
+        .alias("seasonality_multiplier_source"),
     )
 
 
 def minmax_score(df: DataFrame, column: str, out: str) -> DataFrame:
     """Scale a column to 0-100 over the whole table, 0 where it is constant."""
     value = F.col(column)
-    low = df.agg(F.min(column)).scalar()
-    high = df.agg(F.max(column)).scalar()
+    limits = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = F.col("_limits.low"), F.col("_limits.high")
     scaled = half_even(ratio(value - low, high - low) * 100, 2)
-    return df.withColumn(out, F.when(high > low, scaled).otherwise(F.lit(0.0)))
+    return (
+        df.withColumn("_limits", limits)
+        .withColumn(out, F.when(high > low, scaled).otherwise(F.lit(0.0)))
+        .drop("_limits")
+    )
 
 
 def context_score(

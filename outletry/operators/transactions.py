@@ -80,18 +80,17 @@ def unit_price(df: DataFrame) -> DataFrame:
 def price_bounds(sales: DataFrame, config: PipelineConfig = DEFAULTS) -> DataFrame:
     """Price bounds per SKU: quartiles widened by the IQR, or a band around the median."""
     sales = sales.where(F.col("SKU_ID").isNotNull() & F.col("Price_Per_Liter").isNotNull())
-    counts = sales.groupBy("SKU_ID").agg(F.count("Price_Per_Liter").alias("sku_price_count"))
     quartiles = group_quantiles(
         sales, ["SKU_ID"], "Price_Per_Liter",
         {"sku_price_median": 0.5, "sku_price_q1": 0.25, "sku_price_q3": 0.75},
+        count_as="sku_price_count",
     )
     iqr, median = F.col("sku_price_iqr"), F.col("sku_price_median")
     reach = config.price_iqr_factor * iqr
     low = F.when(iqr > 0, F.col("sku_price_q1") - reach).otherwise(median * (1 - config.price_tolerance))
     high = F.when(iqr > 0, F.col("sku_price_q3") + reach).otherwise(median * (1 + config.price_tolerance))
     return (
-        counts.join(quartiles, "SKU_ID")
-        .withColumn("sku_price_iqr", F.col("sku_price_q3") - F.col("sku_price_q1"))
+        quartiles.withColumn("sku_price_iqr", F.col("sku_price_q3") - F.col("sku_price_q1"))
         .withColumn("sku_price_lower_bound", F.greatest(low, F.lit(0.0)))
         .withColumn("sku_price_upper_bound", high)
     )

@@ -34,9 +34,12 @@ class SilverTables:
         return transactions.billing_anomalies(self.labelled)
 
 
-def demand_context(silver: SilverTables) -> DataFrame:
-    multipliers = seasonality.calibrated_multipliers(silver.sales, silver.seasonality)
-    return seasonality.context_score(silver.seasonality, silver.holiday_months, multipliers)
+def multipliers(silver: SilverTables) -> DataFrame:
+    return seasonality.calibrated_multipliers(silver.sales, silver.seasonality)
+
+
+def demand_context(silver: SilverTables, calibrated: DataFrame) -> DataFrame:
+    return seasonality.context_score(silver.seasonality, silver.holiday_months, calibrated)
 
 
 def monthly_gold(silver: SilverTables, context: DataFrame) -> DataFrame:

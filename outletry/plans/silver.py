@@ -10,6 +10,7 @@ from outletry.operators.density import fill_density, monthly_density, yearly_pop
 from outletry.operators.repeats import ROW_ID
 from outletry.operators.rules import valid_rows
 from outletry.operators.spatial import map_with_fallback, nearest_region, points_in_regions, sum_in_radius
+from outletry.session import stage
 
 
 def silver_outlets(raw: DataFrame) -> DataFrame:
@@ -25,7 +26,9 @@ def silver_seasonality(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> Dat
 
 
 def labelled_transactions(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> DataFrame:
-    return transactions.label_transactions(transactions.check_transactions(raw, config), config)
+    """The checked rows are staged: the price bounds read them before the final labels can."""
+    checked = stage(transactions.check_transactions(raw, config), "checked_transactions")
+    return transactions.label_transactions(checked, config)
 
 
 def holiday_dates(raw: DataFrame) -> DataFrame:
@@ -56,7 +59,8 @@ def outlet_density(
     """Monthly density of every outlet, gaps filled from its province and month."""
     points = located_outlets(coordinates, regions, provinces)
     people = sum_in_radius(points, grid, "people", "population", config.radius_km)
-    return fill_density(monthly_density(yearly_population(people, "population", config)))
+    yearly = stage(yearly_population(people, "population", config), "yearly_population")
+    return fill_density(monthly_density(yearly))
 
 
 def as_gold_density(density: DataFrame) -> DataFrame:

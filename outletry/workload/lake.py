@@ -83,9 +83,13 @@ class Lake:
             silver.as_gold_density(self.density),
         )
 
+    @property
+    def multipliers(self) -> DataFrame:
+        return self._layer("multipliers", lambda: gold.multipliers(self.silver))
+
     @property
     def context(self) -> DataFrame:
-        return self._layer("context", lambda: gold.demand_context(self.silver))
+        return self._layer("context", lambda: gold.demand_context(self.silver, self.multipliers))
 
     @property
     def monthly_gold(self) -> DataFrame:

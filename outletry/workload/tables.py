@@ -197,8 +197,20 @@ def duckdb_text(sql: str) -> str:
     return re.sub(r"@(\w+)", r"\1", sql).replace("<each>", "unnest").replace("<list>", "list_value")
 
 
+# Tables worth spreading when their files hold fewer splits than there are cores.
+_SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey"}
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; a fact table in too few splits is spread over the cores by its key.
+
+    On large inputs the scan has more splits than cores and nothing is moved.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD_BY and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, _SPREAD_BY[name])
+    return df
 
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
