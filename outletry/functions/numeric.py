@@ -43,7 +43,9 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
+    """Round half to even in binary arithmetic (``bround`` rounds the printed decimal instead)."""
+    scale = F.lit(10.0**digits)
+    return F.rint(value * scale) / scale if digits else F.rint(value)
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:

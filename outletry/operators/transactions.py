@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletry.config import DEFAULTS, TRANSACTION_COLUMNS, PipelineConfig
-from outletry.functions.numeric import bad_number, ratio, to_number
+from outletry.functions.numeric import bad_number, half_even, ratio, to_number
 from outletry.functions.text import flag
 from outletry.operators.outlets import clean_strings
 from outletry.operators.quantiles import group_quantiles
@@ -194,7 +194,7 @@ def quality_summary(labelled: DataFrame) -> DataFrame:
     )
 
     def share(part: str, whole: Column) -> Column:
-        return F.bround(ratio(F.col(part), whole, 0.0), 5)
+        return half_even(ratio(F.col(part), whole, 0.0), 5)
 
     raw = F.col("raw_rows")
     all_sales = F.greatest(F.col("positive_sales_silver_rows") + F.col("price_outlier_rows"), F.lit(1))
