@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletry.functions.geo import KM_PER_DEGREE, cell, haversine_km, inside_polygon, squared_degrees
+from outletry.session import stage
 
 # Up to this many region centroids travel as one array; more use the cell tree below.
 MAX_CENTROID_ARRAY = 1024
@@ -186,11 +187,15 @@ def nearest_targets(points: DataFrame, targets: DataFrame, out: str, leaf_rows:
     equi-join per level. A point keeps only those cells whose nearest edge is closer than the
     farthest edge of another one, a handful at every level. Points and targets are first reduced to
     distinct positions, so copies of one position cost nothing, and levels are added until no cell
-    holds more than ``leaf_rows`` positions.
+    holds more than ``leaf_rows`` positions. The distinct targets are staged, as every level reads
+    them.
     """
-    spots = targets.groupBy(
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
-    ).agg(F.min("target").alias("target"))
+    spots = stage(
+        targets.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(
+            F.min("target").alias("target")
+        ),
+        "spots",
+    )
     sizes = [_ROOT]
     while sizes[-1] > _SMALLEST:
         crowd = spots.groupBy(cell(F.col("lat"), sizes[-1]), cell(F.col("lon"), sizes[-1])).count()
@@ -256,7 +261,7 @@ def nearest_targets(points: DataFrame, targets: DataFrame, out: str, leaf_rows:
 def density_lookup(requests: DataFrame, density: DataFrame) -> DataFrame:
     """Density of the nearest location in the asked month, for every request (lat, lon, month)."""
     places = density.select("latitude", "longitude", F.col("location_name").alias("target"))
-    nearest = nearest_targets(requests, places.distinct(), "location_name")
+    nearest = nearest_targets(requests, places, "location_name")
     values = density.select(
         "location_name", "month", "base_population", "mobility_factor", "tourism_factor",
         "monthly_density",
