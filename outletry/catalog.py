@@ -530,15 +530,14 @@ def primary_key_mode(lk: Lake) -> DataFrame:
 @query
 def monthly_sales_gold(lk: Lake) -> DataFrame:
     return monthly.monthly_sales_gold(
-        monthly.monthly_sales(lk.silver.sales), monthly.primary_distributor(lk.silver.sales),
-        lk.holiday_months, lk.seasonality, lk.context, silver.as_gold_density(lk.density),
+        lk.monthly, lk.main_distributor, lk.holiday_months, lk.seasonality, lk.context, silver.as_gold_density(lk.density),
     )
 
 
 @query
 def outlet_features(lk: Lake) -> DataFrame:
     return features.outlet_features(
-        lk.monthly_gold, lk.silver.sales, monthly.primary_distributor(lk.silver.sales)
+        lk.monthly_gold, lk.silver.sales, lk.main_distributor
     )
 
 
@@ -574,8 +573,7 @@ def outlet_context_avg(lk: Lake) -> DataFrame:
 def imputation_features(lk: Lake) -> DataFrame:
     s = lk.silver
     return gold.imputation_features(
-        s.outlets, s.coordinates, monthly.monthly_sales(s.sales), s.sales,
-        monthly.primary_distributor(s.sales), transactions.return_features(s.returns),
+        s.outlets, s.coordinates, lk.monthly, s.sales, lk.main_distributor, transactions.return_features(s.returns),
         s.holiday_months, s.seasonality,
     )
 

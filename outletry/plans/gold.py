@@ -34,6 +34,14 @@ class SilverTables:
         return transactions.billing_anomalies(self.labelled)
 
 
+@dataclass
+class SalesFacts:
+    """Two aggregates of the sales rows that several Gold steps read."""
+
+    monthly: DataFrame
+    main_distributor: DataFrame
+
+
 def multipliers(silver: SilverTables) -> DataFrame:
     return seasonality.calibrated_multipliers(silver.sales, silver.seasonality)
 
@@ -42,23 +50,17 @@ def demand_context(silver: SilverTables, calibrated: DataFrame) -> DataFrame:
     return seasonality.context_score(silver.seasonality, silver.holiday_months, calibrated)
 
 
-def monthly_gold(silver: SilverTables, context: DataFrame) -> DataFrame:
+def monthly_gold(silver: SilverTables, facts: SalesFacts, context: DataFrame) -> DataFrame:
     return monthly.monthly_sales_gold(
-        monthly.monthly_sales(silver.sales),
-        monthly.primary_distributor(silver.sales),
-        silver.holiday_months,
-        silver.seasonality,
-        context,
+        facts.monthly, facts.main_distributor, silver.holiday_months, silver.seasonality, context,
         silver.density,
     )
 
 
 def outlet_features(
-    silver: SilverTables, monthly_table: DataFrame, config: PipelineConfig = DEFAULTS
+    silver: SilverTables, facts: SalesFacts, monthly_table: DataFrame, config: PipelineConfig = DEFAULTS
 ) -> DataFrame:
-    return features.outlet_features(
-        monthly_table, silver.sales, monthly.primary_distributor(silver.sales), config
-    )
+    return features.outlet_features(monthly_table, silver.sales, facts.main_distributor, config)
 
 
 def outlet_table(
@@ -83,13 +85,13 @@ def outlet_table(
     )
 
 
-def imputer_features(silver: SilverTables) -> DataFrame:
+def imputer_features(silver: SilverTables, facts: SalesFacts) -> DataFrame:
     return gold.imputation_features(
         silver.outlets,
         silver.coordinates,
-        monthly.monthly_sales(silver.sales),
+        facts.monthly,
         silver.sales,
-        monthly.primary_distributor(silver.sales),
+        facts.main_distributor,
         transactions.return_features(silver.returns),
         silver.holiday_months,
         silver.seasonality,

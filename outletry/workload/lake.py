@@ -7,9 +7,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from outletry.operators.holidays import month_features
+from outletry.operators.monthly import monthly_sales, primary_distributor
 from outletry.operators.spatial import boxes_as_regions
 from outletry.plans import gold, silver
-from outletry.plans.gold import SilverTables
+from outletry.plans.gold import SalesFacts, SilverTables
 from outletry.session import stage
 from outletry.workload.tables import raw_table
 
@@ -53,8 +55,6 @@ class Lake:
 
     @property
     def holiday_months(self) -> DataFrame:
-        from outletry.operators.holidays import month_features
-
         return self._layer("holiday_months", lambda: month_features(self.holiday_dates))
 
     @property
@@ -83,6 +83,18 @@ class Lake:
             silver.as_gold_density(self.density),
         )
 
+    @property
+    def monthly(self) -> DataFrame:
+        return self._layer("monthly", lambda: monthly_sales(self.silver.sales))
+
+    @property
+    def main_distributor(self) -> DataFrame:
+        return self._layer("main_distributor", lambda: primary_distributor(self.silver.sales))
+
+    @property
+    def facts(self) -> SalesFacts:
+        return SalesFacts(self.monthly, self.main_distributor)
+
     @property
     def multipliers(self) -> DataFrame:
         return self._layer("multipliers", lambda: gold.multipliers(self.silver))
@@ -93,11 +105,15 @@ class Lake:
 
     @property
     def monthly_gold(self) -> DataFrame:
-        return self._layer("monthly_gold", lambda: gold.monthly_gold(self.silver, self.context))
+        return self._layer(
+            "monthly_gold", lambda: gold.monthly_gold(self.silver, self.facts, self.context)
+        )
 
     @property
     def features(self) -> DataFrame:
-        return self._layer("features", lambda: gold.outlet_features(self.silver, self.monthly_gold))
+        return self._layer(
+            "features", lambda: gold.outlet_features(self.silver, self.facts, self.monthly_gold)
+        )
 
     @property
     def outlet_gold(self) -> DataFrame:
@@ -107,7 +123,7 @@ class Lake:
 
     @property
     def imputer_features(self) -> DataFrame:
-        return self._layer("imputer_features", lambda: gold.imputer_features(self.silver))
+        return self._layer("imputer_features", lambda: gold.imputer_features(self.silver, self.facts))
 
 
 _LAKES: dict[tuple[str, str], Lake] = {}
