@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -68,7 +69,7 @@ def driver(lk: Lake, name: str) -> DataFrame:
 @query
 def scan_csv_roundtrip(lk: Lake) -> DataFrame:
     customer = driver(lk, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    path = f"{shared_folder(lk.spark)}/customer-csv-{lk.spark.sparkContext.startTime}"
+    path = f"{shared_folder(lk.spark)}/customer-csv-{uuid.uuid4().hex}"
     writers.write_csv(customer, path)
     back = readers.read_csv(lk.spark, path, customer.columns)
     return back.select(

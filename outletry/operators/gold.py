@@ -99,7 +99,20 @@ def add_target_context(
     density: DataFrame | None,
     config: PipelineConfig = DEFAULTS,
 ) -> DataFrame:
-    """What is known about the target month for each outlet's distributor and place."""
+    """What is known about the target month for each outlet's distributor and place.
+
+    The density is joined first, while the outlets still lie partitioned by their own key.
+    """
+    density_columns = {
+        "monthly_density": "jan_2026_monthly_density",
+        "base_population": "jan_2026_base_population",
+        "mobility_factor": "jan_2026_mobility_factor",
+        "tourism_factor": "jan_2026_tourism_factor",
+    }
+    if density is None:
+        gold = gold.withColumns({c: F.lit(None).cast("double") for c in density_columns.values()})
+    else:
+        gold = gold.join(target_or_history(density, [ID], density_columns, config), ID, "left")
     label, score, multiplier, calibrated = (
         "jan_2026_seasonality_index", "jan_2026_seasonality_score",
         "jan_2026_seasonality_multiplier", "jan_2026_seasonality_multiplier_calibrated",
@@ -141,15 +154,7 @@ def add_target_context(
         F.col("jan_2026_holiday_intensity_proxy") * F.col("jan_2026_seasonality_multiplier_used"),
     )
 
-    density_columns = {
-        "monthly_density": "jan_2026_monthly_density",
-        "base_population": "jan_2026_base_population",
-        "mobility_factor": "jan_2026_mobility_factor",
-        "tourism_factor": "jan_2026_tourism_factor",
-    }
-    if density is None:
-        return gold.withColumns({c: F.lit(None).cast("double") for c in density_columns.values()})
-    return gold.join(target_or_history(density, [ID], density_columns, config), ID, "left")
+    return gold
 
 
 def holiday_proxies(holiday_months: DataFrame, config: PipelineConfig = DEFAULTS) -> DataFrame:

@@ -12,6 +12,8 @@ from outletry.session import stage
 
 # Up to this many region centroids travel as one array; more use the cell tree below.
 MAX_CENTROID_ARRAY = 1024
+# Raster cells per side of a block: larger blocks file each cell less often but test more per point.
+_BLOCK = 4
 
 
 def boxes_as_regions(boxes: DataFrame, name: str) -> DataFrame:
@@ -109,27 +111,33 @@ def sum_in_radius(
 
     ``cells`` is a raster of spacing ``step``: (row_no, col_no, value) with centres at
     ``row_no * step`` and ``col_no * step``. Rows of one cell are summed first. Every cell is then
-    filed under the cells around it, so an array per cell holds at most (2k+1)^2 entries and a
-    point needs one equi-join on its own cell and no regrouping. A crowded cell only means many
-    probes of the same short array.
+    filed under its block and those blocks it can be reached from, so the array of a block is as
+    short as the block and its margin, and a point needs one equi-join on its own block and no
+    regrouping. A crowded block only means many probes of the same short array.
     """
     reach_lat = int(radius_km / (KM_PER_DEGREE * step)) + 1
     # Degrees of longitude shrink with latitude, so points beyond ``max_latitude`` are an error.
     reach_lon = int(radius_km / (KM_PER_DEGREE * step * math.cos(math.radians(max_latitude)))) + 1
+
+    def around_block(index: str, reach: int) -> tuple[Column, Column]:
+        return cell(F.col(index) - reach, _BLOCK), cell(F.col(index) + reach, _BLOCK)
+
     raster = cells.groupBy("row_no", "col_no").agg(F.sum(value).alias("_value"))
     around = (
         raster.select(
             "row_no", "col_no", "_value",
-            F.explode(F.sequence(F.col("row_no") - reach_lat, F.col("row_no") + reach_lat)).alias("_ri"),
+            F.explode(F.sequence(*around_block("row_no", reach_lat))).alias("_ri"),
         )
         .select(
             "*",
-            F.explode(F.sequence(F.col("col_no") - reach_lon, F.col("col_no") + reach_lon)).alias("_rj"),
+            F.explode(F.sequence(*around_block("col_no", reach_lon))).alias("_rj"),
         )
         .groupBy("_ri", "_rj")
         .agg(
             F.collect_list(
                 F.struct(
+                    "row_no",
+                    "col_no",
                     (F.col("row_no") * F.lit(step)).alias("lat"),
                     (F.col("col_no") * F.lit(step)).alias("lon"),
                     F.col("_value").alias("value"),
@@ -138,21 +146,27 @@ def sum_in_radius(
         )
     )
     lat, lon = F.col("latitude"), F.col("longitude")
-    near = F.filter("_near", lambda c: haversine_km(lat, lon, c["lat"], c["lon"]) <= radius_km)
+    near = F.filter(
+        "_near",
+        lambda c: (F.abs(c["row_no"] - F.col("_row")) <= reach_lat)
+        & (F.abs(c["col_no"] - F.col("_col")) <= reach_lon)
+        & (haversine_km(lat, lon, c["lat"], c["lon"]) <= radius_km),
+    )
     total = F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["value"].cast("double"))
     too_far = F.raise_error(F.lit(f"latitude beyond {max_latitude}")).cast("double")
     return (
         points.withColumns(
             {
-                "_ri": F.round(lat / F.lit(step)).cast("int"),
-                "_rj": F.round(lon / F.lit(step)).cast("int"),
+                "_row": F.round(lat / F.lit(step)).cast("int"),
+                "_col": F.round(lon / F.lit(step)).cast("int"),
             }
         )
+        .withColumns({"_ri": cell(F.col("_row"), _BLOCK), "_rj": cell(F.col("_col"), _BLOCK)})
         .join(around, ["_ri", "_rj"], "left")
         .withColumn(
             out, F.when(F.abs(lat) > max_latitude, too_far).otherwise(F.coalesce(total, F.lit(0.0)))
         )
-        .drop("_ri", "_rj", "_near")
+        .drop("_row", "_col", "_ri", "_rj", "_near")
     )
 
 
@@ -175,9 +189,17 @@ def _box_bounds(lat: Column, lon: Column, box: Column) -> tuple[Column, Column]:
 
 
 def _closest_boxes(lat: Column, lon: Column, boxes: Column) -> Column:
-    """Those boxes that may still hold the nearest target."""
-    reach = F.array_min(F.transform(boxes, lambda b: _box_bounds(lat, lon, b)[1]))
-    return F.filter(boxes, lambda b: _box_bounds(lat, lon, b)[0] <= reach)
+    """Those boxes that may still hold the nearest target.
+
+    The shortest reach is bound to the variable of the finishing step, so it is worked out once per
+    array and not once per box.
+    """
+    return F.aggregate(
+        boxes,
+        F.lit(float("inf")),
+        lambda reach, b: F.least(reach, _box_bounds(lat, lon, b)[1]),
+        lambda reach: F.filter(boxes, lambda b: _box_bounds(lat, lon, b)[0] <= reach),
+    )
 
 
 def nearest_targets(points: DataFrame, targets: DataFrame, out: str, leaf_rows: int = 256) -> DataFrame:

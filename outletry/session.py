@@ -37,7 +37,7 @@ def build_session(name: str = "outletry", master: str | None = None, **conf: str
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by the cluster in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

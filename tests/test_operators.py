@@ -333,3 +333,50 @@ def test_sources(spark, tmp_path):
     assert {r["k"] for r in spark.read.parquet(path).collect()} == {"a", "c"}
     more = spark.createDataFrame([("d", 2024), ("e", 2025)], years.schema)
     assert [r["k"] for r in writers.years_to_do(more, path).collect()] == ["e"]
+
+
+def test_period_layouts(spark):
+    layouts = [
+        spark.createDataFrame([("a", 2024, 3)], "Outlet_ID string, Year int, Month int"),
+        spark.createDataFrame([("a", "2024", "3", "2024-03")], "location_name string, year string, month_num string, month string"),
+        spark.createDataFrame([("a", "2024-03")], "location_name string, month string"),
+        spark.createDataFrame([("a", "2024-03-01")], "location_name string, month string"),
+    ]
+    for df in layouts:
+        out = readers.unify_period(df)
+        assert out.columns == ["Outlet_ID", "Year", "Month"] and tuple(out.first()) == ("a", 2024, 3)
+    with pytest.raises(ValueError):
+        readers.unify_period(spark.createDataFrame([(1,)], "Year int"))
+
+
+def test_location_headers(spark):
+    df = spark.createDataFrame([("6.9", "79.9"), (None, "80")], "Y string, LNG string")
+    row = readers.resolve_locations(df).collect()
+    assert len(row) == 1 and row[0]["location_name"].startswith("loc_") and row[0]["latitude"] == 6.9
+    with pytest.raises(ValueError):
+        readers.resolve_locations(df.drop("Y"))
+
+
+def test_legacy_holiday_columns(spark):
+    older = spark.createDataFrame([(2023, 1, 4, "2.5")], "Year int, Month int, public_holiday_count int, holiday_intensity_score string")
+    row = holidays.legacy_alias_fill(older).first()
+    assert (row["public_holiday_date_count"], row["holiday_intensity_score"], row["poya_day_date_count"]) == (4.0, 2.5, 0.0)
+
+
+def test_recency_by_rows_and_by_calendar_differ(spark):
+    from outletry.operators import features
+    rows = [("a", 2023, m, float(m)) for m in (1, 2, 3, 12)] + [("b", 2023, 5, 7.0)]
+    table = spark.createDataFrame(rows, "Outlet_ID string, Year int, Month int, monthly_liters double")
+    by_rows = {r["Outlet_ID"]: r for r in features.recent_n_rows(table).collect()}
+    dated = monthly.with_recency(table).groupBy("Outlet_ID").agg(*features.recent_months())
+    by_date = {r["Outlet_ID"]: r for r in dated.collect()}
+    assert by_rows["a"]["recent_3_month_total_liters"] == 17.0
+    assert by_date["a"]["recent_3_month_total_liters"] == 12.0
+    assert by_rows["b"]["recent_3_month_avg_liters"] == 7.0 and by_date["b"]["recent_3_month_avg_liters"] is None
+
+
+def test_crowded_category_is_hashed(spark, monkeypatch):
+    monkeypatch.setattr(imputer, "MAX_LEVELS", 4)
+    df = spark.range(50).select(F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
+    assert imputer.crowded_columns(df, ["c", "d"]) == {"c"}
+    assert df.select(imputer.level("c", {"c"}).alias("l")).distinct().count() <= 4
