@@ -18,7 +18,7 @@ split AS (
 ),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> w[i:i + 4])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s
   FROM split
 ),
 sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
@@ -34,13 +34,123 @@ links AS (
 ),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
-  SELECT id AS node, id AS at FROM classes
+  SELECT id AS node, id AS goal FROM classes
   UNION
-  SELECT r.node, w.b FROM reach r JOIN ways w ON r.at = w.a
+  SELECT r.node, w.b FROM reach r JOIN ways w ON r.goal = w.a
 ),
-least_of AS (SELECT node, min(at) AS component FROM reach GROUP BY node)
+least_of AS (SELECT node, min(goal) AS component FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles,
   CASE WHEN d.n = 0 THEN d.doc_id ELSE l.component END AS component_id,
   (CASE WHEN d.n = 0 THEN d.doc_id ELSE l.component END) = d.doc_id AS kept
 FROM sized d LEFT JOIN members m ON m.doc_id = d.doc_id LEFT JOIN least_of l ON l.node = m.id
 """
+
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '{_WORD}')"
+
+LINE_RULES = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+),
+measured AS (
+  SELECT *, len(w) AS n,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    list_filter(l, lambda x: regexp_matches(x, '{_WORD}')) AS full_lines,
+    CASE WHEN len(w) < 9 THEN [] ELSE list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) END AS g,
+    list_filter(l, lambda x: NOT (
+      len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y IN ('|', '»', '›', '•', '·', '>'))) >= 2
+      OR (regexp_matches(lower(x), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|enable javascript|lorem ipsum|click here|read more|sign in|log in|subscribe to our|skip to content|share this|back to top')
+          AND len(regexp_extract_all(x, '{_WORD}')) < 20)
+      OR (len(regexp_extract_all(x, '{_WORD}')) > 0 AND NOT regexp_matches(x, '[.!?;:…。！？]["''”’»)\]]*\s*$'))
+    )) AS good
+  FROM base
+),
+places AS (
+  SELECT row_key, unnest(g) AS g, unnest(range(1, len(g) + 1)) AS i
+  FROM (SELECT row_number() OVER () AS row_key, * FROM measured) WHERE len(g) > 0
+),
+repeated AS (SELECT *, count(*) OVER (PARTITION BY row_key, g) AS c FROM places),
+covered AS (SELECT row_key, count(DISTINCT i + o) AS n_repeat
+  FROM repeated, (SELECT unnest(range(0, 8)) AS o) WHERE c > 1 GROUP BY row_key),
+final AS (
+  SELECT doc_id, n, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup,
+    coalesce(n_repeat, 0) AS n_repeat, len(l) AS n_lines, len(l) - len(good) AS n_removed,
+    length(regexp_replace(array_to_string(good, chr(10)), '[\x20\x09-\x0D]+', '', 'g')) AS kept_chars
+  FROM (SELECT row_number() OVER () AS row_key, * FROM measured) LEFT JOIN covered USING (row_key)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat AS BIGINT) AS n_repeat_words,
+  n < 20 OR 100 * n_repeat > 30 * n AS base_failed,
+  NOT (n < 20 OR 100 * n_repeat > 30 * n) AND 100 * (word_chars - kept_chars) <= 50 * word_chars AS kept,
+  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(kept_chars AS BIGINT) AS kept_chars
+FROM final
+"""
+
+URL_RULES = r"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+),
+rules(rh, rp, v) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+best AS (
+  SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) p
+  JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)
+"""
+
+CHATS = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+LEAKS = f"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    regexp_extract_all({_low("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+items AS (
+  SELECT item_id, regexp_extract_all({_low("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+),
+windows AS (
+  SELECT DISTINCT item_id, width, g FROM (
+    SELECT item_id, least(len(w), 10) AS width,
+      unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+    FROM items WHERE len(w) > 0)
+),
+widths AS (SELECT DISTINCT width FROM windows),
+runs AS (
+  SELECT k, width, i, array_to_string(w[i:i + width - 1], ' ') AS g
+  FROM (SELECT k, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM split, widths WHERE len(w) >= width)
+),
+met AS (SELECT r.k, r.i, r.width, n.item_id FROM runs r JOIN windows n ON r.width = n.width AND r.g = n.g),
+words_hit AS (
+  SELECT k, count(DISTINCT p) AS n_hit
+  FROM (SELECT k, unnest(range(i, i + width)) AS p FROM met) GROUP BY k
+),
+found AS (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM met WHERE item_id IS NOT NULL),
+named AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM found GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN words_hit USING (k) LEFT JOIN named USING (k)
+"""
