@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = similar_components(
         candidates(classes),
         classes.select("node", "n"),
-        lambda members: members.join(docs.withColumnRenamed("doc_id", "node"), "node"),
+        # The texts move at every size: members grow with the input, so they are not broadcast.
+        lambda members: members.join(docs.withColumnRenamed("doc_id", "node").hint("merge"), "node"),
         percent,
     )
     # A doc_id on rows with different sets can head several classes; all of them are one node.
