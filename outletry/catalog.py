@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +82,36 @@ def scan_csv_roundtrip(lk: Lake) -> DataFrame:
 
 @query
 def bronze_landing(lk: Lake) -> DataFrame:
-    scan = lk.spark.read.parquet(f"{lk.sf_dir.rstrip('/')}/supplier.parquet")
-    landed = readers.with_lineage(scan.select(*[F.col(c).cast("string").alias(c) for c in scan.columns]))
-    return stage(landed, "bronze").drop("_row_id")
+    """All raw tables as CSV files, landed with source and row id; a row id must occur once."""
+    parts = []
+    for name, df in raw_tables(lk).items():
+        path = f"{shared_folder(lk.spark).rstrip('/')}/raw-{name}-{uuid.uuid4().hex}"
+        writers.write_csv(df.drop("_row_id"), path)
+        landed = stage(readers.with_lineage(readers.clean_columns(readers.read_csv(lk.spark, path))), "bronze")
+        parts.append(landed.agg(
+            F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("_row_id").alias("row_ids"), F.count_if(F.col("_source_file").isNull()).alias("no_source"),
+            F.count(readers.CORRUPT).alias("broken_lines"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def checkpoint_resume(lk: Lake) -> DataFrame:
+    """A checkpoint that first has half of the places and one year less, and is then completed."""
+    yearly = driver(lk, "orders").groupBy(
+        F.col("o_custkey").alias("place"), F.year("o_orderdate").alias("year")
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    path = f"{shared_folder(lk.spark).rstrip('/')}/checkpoint-{uuid.uuid4().hex}"
+    writers.add_years(yearly.where("place % 2 = 0 and year <> 1996"), path, ["place"])
+    return writers.add_years(yearly, path, ["place"])
+
+
+@query
+def optional_table(lk: Lake) -> DataFrame:
+    schema = "s_suppkey bigint, s_name string"
+    there = readers.optional_table(lk.spark, f"{lk.sf_dir.rstrip('/')}/supplier.parquet", schema)
+    return there.unionByName(readers.optional_table(lk.spark, None, schema))
 
 
 @query
@@ -126,20 +153,24 @@ def legacy_alias_fill(lk: Lake) -> DataFrame:
 # --- profiles and reports --------------------------------------------------------------------
 
 
+def raw_tables(lk: Lake) -> dict[str, DataFrame]:
+    names = ("transactions", "outlet_master", "outlet_coordinates", "seasonality", "holidays")
+    return {n: lk.raw(n) for n in names}
+
+
 @query
 def profile_dataset(lk: Lake) -> DataFrame:
-    names = ["transactions", "outlet_master", "outlet_coordinates", "seasonality", "holidays"]
-    return reports.dataset_summary({n: lk.raw(n).drop("_row_id") for n in names})
+    return reports.dataset_summary({n: df.drop("_row_id") for n, df in raw_tables(lk).items()})
 
 
 @query
 def profile_columns(lk: Lake) -> DataFrame:
-    return reports.column_summary(lk.raw("outlet_master"), "outlet_master")
+    return reports.each_table(reports.column_summary, raw_tables(lk))
 
 
 @query
 def profile_samples(lk: Lake) -> DataFrame:
-    return reports.sample_values(lk.raw("outlet_master"), "outlet_master")
+    return reports.each_table(reports.sample_values, raw_tables(lk))
 
 
 def checked_tables(lk: Lake) -> dict[str, DataFrame]:
@@ -160,10 +191,7 @@ def rejection_reason_counts(lk: Lake) -> DataFrame:
 @query
 def union_rejected(lk: Lake) -> DataFrame:
     tables = checked_tables(lk)
-    everything = reports.union_rejected(
-        {n: tables[n] for n in ("outlet_master", "outlet_coordinates", "distributor_seasonality")}
-    )
-    return everything.select(
+    return reports.union_rejected(tables).select(
         "dataset", "_row_id", "Outlet_ID", "Distributor_ID", "Year", "Month", "_dq_rejection_reason"
     )
 
@@ -181,8 +209,9 @@ def silver_quality_summary(lk: Lake) -> DataFrame:
         lat_lon_swapped_corrected_rows=F.col("coordinate_corrected_flag") == 1,
     )
     season = reports.load_summary(tables["distributor_seasonality"], "distributor_seasonality")
-    return master.unionByName(coordinates, allowMissingColumns=True).unionByName(
-        season, allowMissingColumns=True
+    days = reports.load_summary(tables["holiday_list"], "holiday_list")
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), (master, coordinates, season, days)
     )
 
 
@@ -337,6 +366,17 @@ def parse_dates(lk: Lake) -> DataFrame:
     )
 
 
+@query
+def zoned_dates(lk: Lake) -> DataFrame:
+    zone = F.when(F.col("o_orderkey") % 3 == 0, "Z").when(F.col("o_orderkey") % 3 == 1, "-05:00").otherwise("+05:30")
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    said = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), hour, F.lit(":30:00"), zone)
+    day = dates.parse_month_first(said)
+    return driver(lk, "orders").select(
+        "o_orderkey", day.alias("utc_day"), F.date_format(day, "yyyy-MM").alias("month")
+    )
+
+
 @query
 def calendar_parts(lk: Lake) -> DataFrame:
     day = F.to_date("o_orderdate")
@@ -350,7 +390,7 @@ def month_spine(lk: Lake) -> DataFrame:
     counts = driver(lk, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    spine = dates.month_spine(lk.spark, "1995-01-01", "2001-12-01")
+    spine = dates.months_of(driver(lk, "orders"), F.col("o_orderdate"))
     return spine.join(counts, "month", "left").select(
         "month", "year", "month_num",
         dates.month_index(F.col("year"), F.col("month_num")).alias("month_index"),
@@ -740,9 +780,7 @@ def submission(lk: Lake) -> DataFrame:
 
 @query
 def validate_output(lk: Lake) -> DataFrame:
-    return potential.validate_output(
-        potential.submission(peer_potential(lk)), replace(DEFAULTS, expected_outlets=None)
-    )
+    return potential.validate_output(potential.submission(peer_potential(lk)), master=lk.outlets)
 
 
 @query
@@ -757,9 +795,6 @@ def cluster_prediction_summary(lk: Lake) -> DataFrame:
 
 # --- models ----------------------------------------------------------------------------------
 
-# Fewer trees and restarts than the defaults keep the model queries short; nothing else differs.
-LIGHT = replace(DEFAULTS, trees=40, search_restarts=2, final_restarts=3)
-
 
 @query
 def class_balance(lk: Lake) -> DataFrame:
@@ -784,12 +819,12 @@ def confusion_matrix(lk: Lake) -> DataFrame:
 
 @query
 def cv_metrics(lk: Lake) -> DataFrame:
-    return imputer.CategoryImputer(config=replace(LIGHT, max_folds=3)).cross_validate(lk.imputer_features)
+    return imputer.CategoryImputer(config=DEFAULTS).cross_validate(lk.imputer_features)
 
 
 def fitted_imputer(lk: Lake) -> imputer.CategoryImputer:
     if not hasattr(lk, "_imputer"):
-        lk._imputer = imputer.CategoryImputer(config=LIGHT).fit(lk.imputer_features)
+        lk._imputer = imputer.CategoryImputer(config=DEFAULTS).fit(lk.imputer_features)
     return lk._imputer
 
 
@@ -824,7 +859,7 @@ def low_confidence_imputations(lk: Lake) -> DataFrame:
 
 def clustered(lk: Lake) -> clustering.Clustering:
     if not hasattr(lk, "_clustering"):
-        lk._clustering = clustering.cluster_outlets(lk.outlet_gold, LIGHT)
+        lk._clustering = clustering.cluster_outlets(lk.outlet_gold, DEFAULTS)
     return lk._clustering
 
 

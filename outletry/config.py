@@ -116,6 +116,53 @@ TRANSACTION_COLUMNS = (
 
 SUBMISSION_COLUMNS = ("Outlet_ID", "Maximum_Monthly_Liters")
 
+# Columns the models read and the profiles report.
+IMPUTER_NUMERIC = (
+    "Cooler_Count", "Latitude", "Longitude", "avg_monthly_liters", "median_monthly_liters",
+    "max_monthly_liters", "sales_std", "sales_cv", "total_liters", "avg_bill_value",
+    "max_bill_value", "total_bill_value", "avg_sku_count", "max_sku_count", "total_unique_skus",
+    "active_months", "recent_3_month_avg_liters", "recent_6_month_avg_liters",
+    "avg_january_liters", "max_january_liters", "distributor_count", "return_record_count",
+    "return_liters_abs", "return_ratio_liters", "return_ratio_value", "avg_seasonality_score",
+)
+IMPUTER_CATEGORICAL = ("Outlet_Type", "Distributor_ID")
+CLUSTER_NUMERIC = (
+    "Cooler_Count", "Latitude", "Longitude",
+    "avg_monthly_liters", "median_monthly_liters", "avg_monthly_liters_excluding_apr_dec",
+    "max_monthly_liters", "p75_monthly_liters", "p90_monthly_liters", "sales_std", "sales_cv",
+    "total_liters", "avg_bill_value", "total_bill_value",
+    "avg_sku_count", "max_sku_count", "total_unique_skus", "active_months",
+    "recent_3_month_avg_liters", "recent_6_month_avg_liters",
+    "avg_january_liters", "max_january_liters",
+    "april_spike_ratio", "december_spike_ratio", "seasonal_peak_liters", "peak_to_median_ratio",
+    "seasonal_spike_flag", "return_ratio_liters", "return_ratio_value", "billing_anomaly_count",
+    "avg_holiday_intensity_score", "avg_seasonality_adjusted_holiday_score",
+    "avg_distributor_month_context_score", "avg_seasonality_multiplier_calibrated",
+    "favorable_holiday_month_count", "unfavorable_holiday_month_count", "festive_favorable_month_count",
+    "avg_monthly_density", "max_monthly_density", "avg_january_density", "max_january_density",
+    "avg_base_population", "avg_mobility_factor", "avg_tourism_factor",
+    "jan_2026_adjusted_holiday_score_proxy", "jan_2026_seasonality_multiplier_used",
+    "jan_2026_monthly_density", "jan_2026_base_population", "jan_2026_mobility_factor",
+    "jan_2026_tourism_factor",
+)
+CLUSTER_CATEGORICAL = ("Outlet_Size", "Outlet_Type", "Distributor_ID", "province", "jan_2026_seasonality_index")
+PROFILE_COLUMNS = (
+    "avg_monthly_liters", "median_monthly_liters", "p90_monthly_liters", "max_monthly_liters",
+    "avg_january_liters", "max_january_liters", "Cooler_Count", "avg_sku_count",
+    "total_unique_skus", "return_ratio_liters", "billing_anomaly_count",
+    "avg_holiday_intensity_score", "avg_seasonality_adjusted_holiday_score",
+    "avg_distributor_month_context_score", "avg_monthly_density", "avg_january_density",
+)
+
+# --------------------------------------------------------------------------
+# Choices of this library.
+# --------------------------------------------------------------------------
+
+# Category columns without a closed list of values. They are always hashed to so many buckets, so that the
+# features do not depend on how many values there are; all other categories are one-hot as they are.
+OPEN_CATEGORIES = ("Distributor_ID",)
+HASH_WIDTH = 1024
+
 
 @dataclass(frozen=True)
 class PipelineConfig:
@@ -147,7 +194,6 @@ class PipelineConfig:
     # clustering
     k_min: int = 3
     k_max: int = 10
-    silhouette_rows: int = 5000
     search_restarts: int = 20
     final_restarts: int = 30
     # potential
@@ -163,6 +209,8 @@ class PipelineConfig:
     capacity_weight: float = 0.15
     missing_cap_factor: float = 1.20
     expected_outlets: int | None = 20000
+    # driver threads that submit independent fits
+    fit_threads: int = 4
 
 
 DEFAULTS = PipelineConfig()

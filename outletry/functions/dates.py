@@ -8,9 +8,26 @@ from pyspark.sql import functions as F
 from outletry.functions.text import flag
 
 
+# Day layouts, tried in this order; month comes before day where both are numbers.
+DAY_LAYOUTS = ("M/d/yyyy", "yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy")
+_ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
+_TIMED = r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?) ?"
+
+
 def parse_month_first(text: Column) -> Column:
-    """Date from ``M/d/yyyy`` or ISO text, null when it is neither."""
-    return F.coalesce(F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "yyyy-MM-dd"))
+    """Date from one of the day layouts or from an ISO timestamp, null when it is none.
+
+    A timestamp with a zone counts in UTC, one without as it stands.
+    """
+    zoned = F.when(text.rlike(_TIMED + _ZONE), utc_day(text))
+    timed = F.when(text.rlike(_TIMED + "$"), F.try_to_date(F.regexp_extract(text, _TIMED, 1), "yyyy-M-d"))
+    return F.coalesce(*[F.try_to_date(text, layout) for layout in DAY_LAYOUTS], timed, zoned)
+
+
+def utc_day(text: Column) -> Column:
+    """Day in UTC of an ISO timestamp with a zone, whatever the zone of the session."""
+    at = F.regexp_replace(text, r"([+-]\d{2}):?(\d{2})$", "$1:$2").try_cast("timestamp")
+    return F.to_date(F.to_utc_timestamp(at, F.current_timezone()))
 
 
 def calendar_columns(day: Column) -> dict[str, Column]:
@@ -33,10 +50,21 @@ def month_index(year: Column, month: Column) -> Column:
 
 def month_spine(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row per calendar month between two dates, both included."""
+    return months_between(
+        spark.range(1).select(F.to_date(F.lit(first)).alias("first"), F.to_date(F.lit(last)).alias("last"))
+    )
+
+
+def months_of(df: DataFrame, day: Column) -> DataFrame:
+    """One row per calendar month from the first to the last ``day`` of ``df``, none for an empty table."""
+    return months_between(df.agg(F.min(F.to_date(day)).alias("first"), F.max(F.to_date(day)).alias("last")))
+
+
+def months_between(span: DataFrame) -> DataFrame:
     months = F.explode(
-        F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 month"))
+        F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))
     )
-    return spark.range(1).select(months.alias("month_start")).select(
+    return span.select(months.alias("month_start")).select(
         "month_start",
         F.year("month_start").alias("year"),
         F.month("month_start").alias("month_num"),

@@ -1,9 +1,10 @@
 """Repeated rows: the first one by row id stays, later ones are marked.
 
-A window per key would put all copies of a hot key into one task. Instead the first row id of each
-key is found by an aggregate (combined on the map side, so a hot key shrinks before the shuffle),
-only keys that do repeat are kept, and those are joined back. Adaptive execution broadcasts them if
-they turn out small and splits a hot partition of the large side otherwise.
+Only hashes travel for rows that do not repeat: one 64-bit hash per row is counted, combined on the map side,
+and rows whose hash occurs once are done. The others, few in clean data, are compared on their whole keys,
+and the row ids of later copies are joined back. Adaptive execution broadcasts what turns out small
+and splits a hot hash of the semi-join otherwise. The source is read several times with few columns, so
+it should be a table, not a chain of joins.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outletry.session import stage
+
 ROW_ID = "_row_id"
 REPEAT = "_is_repeat"
 
@@ -25,23 +28,25 @@ def mark_repeats(
 
     Null key values are equal to each other. With ``among`` only rows fulfilling it take part.
     """
-    counted = F.lit(True) if among is None else among
-    repeated = (
-        df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.min(F.when(counted, F.col(row_id))).alias("_first"), F.count_if(counted).alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
+    names = [f"_k{i}" for i in range(len(keys))]
+    part = df if among is None else df.where(among)
+    part = part.select(
+        F.xxhash64(*keys).alias("_code"), F.col(row_id).alias("_id"),
+        *[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)],
     )
-    same_key = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    seen = part.groupBy("_code").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_code")
+    # Staged, so that its measured size decides the join, and a sort-merge join can split a hot hash.
+    seen = stage(seen, "repeats")
+    again = part.join(seen, "_code", "left_semi")
+    firsts = again.groupBy(*names).agg(F.min("_id").alias("_first")).select(
+        "_first", *[F.col(n).alias(f"{n}_") for n in names]
     )
-    later = F.coalesce(F.col(row_id) > F.col("_first"), F.lit(False))
-    if among is not None:
-        later = later & F.coalesce(among, F.lit(False))
+    same_key = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
+    later = again.join(firsts, same_key & (F.col("_id") > F.col("_first"))).select("_id", F.lit(True).alias("_later"))
     return (
-        df.join(repeated, same_key, "left")
-        .withColumn(REPEAT, later)
-        .drop("_first", *[f"_k{i}" for i in range(len(keys))])
+        df.join(later, F.col(row_id) == F.col("_id"), "left")
+        .withColumn(REPEAT, F.coalesce("_later", F.lit(False)))
+        .drop("_id", "_later")
     )
 
 

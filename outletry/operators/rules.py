@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 REASONS = "_reasons"
 REASON_TEXT = "_dq_rejection_reason"
 SEPARATOR = " | "
+BROKEN_LINE = "_corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,13 @@ def with_reasons(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn(REASONS, found)
 
 
+def with_broken_lines(df: DataFrame) -> DataFrame:
+    """Refuse rows of lines that the scan could not split into its columns."""
+    if BROKEN_LINE not in df.columns:
+        return df
+    return with_reasons(df, [Rule("Malformed line", F.col(BROKEN_LINE).isNotNull())])
+
+
 def is_valid() -> Column:
     return F.size(REASONS) == 0
 

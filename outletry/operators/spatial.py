@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletry.functions.geo import KM_PER_DEGREE, cell, haversine_km, inside_polygon, squared_degrees
 from outletry.session import stage
 
-# Up to this many region centroids travel as one array; more use the cell tree below.
-MAX_CENTROID_ARRAY = 1024
 # Raster cells per side of a block: larger blocks file each cell less often but test more per point.
 _BLOCK = 4
 
@@ -67,27 +63,11 @@ def points_in_regions(points: DataFrame, regions: DataFrame, size: float = 0.5)
 
 
 def nearest_region(points: DataFrame, regions: DataFrame, column: str = "region") -> DataFrame:
-    """Fill a missing region with the one whose centroid is nearest in degrees (then by name)."""
-    if regions.limit(MAX_CENTROID_ARRAY + 1).count() <= MAX_CENTROID_ARRAY:
-        centroids = regions.agg(
-            F.collect_list(F.struct("centroid_lat", "centroid_lon", "region"))
-        ).scalar()
-        best = F.array_min(
-            F.transform(
-                "_centroids",
-                lambda c: F.struct(
-                    squared_degrees(
-                        F.col("latitude"), F.col("longitude"), c["centroid_lat"], c["centroid_lon"]
-                    ).alias("d"),
-                    c["region"].alias("name"),
-                ),
-            )
-        )
-        return (
-            points.withColumn("_centroids", centroids)
-            .withColumn(column, F.coalesce(F.col(column), best["name"]))
-            .drop("_centroids")
-        )
+    """Fill a missing region with the one whose centroid is nearest in degrees (then by name).
+
+    Only points without a region are searched for; one without coordinates keeps none.
+    """
+    points = stage(points, "points")
     targets = regions.select(
         F.col("centroid_lat").alias("latitude"),
         F.col("centroid_lon").alias("longitude"),
@@ -105,7 +85,6 @@ def sum_in_radius(
     out: str,
     radius_km: float,
     step: float = 0.01,
-    max_latitude: float = 60.0,
 ) -> DataFrame:
     """Add the sum of the raster cells whose centre lies within ``radius_km`` of each point.
 
@@ -116,10 +95,16 @@ def sum_in_radius(
     regrouping. A crowded block only means many probes of the same short array.
     """
     reach_lat = int(radius_km / (KM_PER_DEGREE * step)) + 1
-    # Degrees of longitude shrink with latitude, so points beyond ``max_latitude`` are an error.
-    reach_lon = int(radius_km / (KM_PER_DEGREE * step * math.cos(math.radians(max_latitude)))) + 1
+    # Degrees of longitude shrink with latitude: every row of the raster has its own reach, taken at the
+    # farthest latitude it can serve and all around the globe next to a pole.
+    farthest = F.least((F.abs(F.col("row_no")) + reach_lat) * F.lit(step), F.lit(90.0))
+    per_degree = F.cos(F.radians(farthest)) * F.lit(KM_PER_DEGREE * step)
+    around_globe = int(180 / step) + 1
+    reach_lon = F.when(farthest >= 89.5, around_globe).otherwise(
+        F.floor(F.lit(radius_km) / per_degree).cast("int") + 1
+    )
 
-    def around_block(index: str, reach: int) -> tuple[Column, Column]:
+    def around_block(index: str, reach: Column | int) -> tuple[Column, Column]:
         return cell(F.col(index) - reach, _BLOCK), cell(F.col(index) + reach, _BLOCK)
 
     raster = cells.groupBy("row_no", "col_no").agg(F.sum(value).alias("_value"))
@@ -149,11 +134,9 @@ def sum_in_radius(
     near = F.filter(
         "_near",
         lambda c: (F.abs(c["row_no"] - F.col("_row")) <= reach_lat)
-        & (F.abs(c["col_no"] - F.col("_col")) <= reach_lon)
         & (haversine_km(lat, lon, c["lat"], c["lon"]) <= radius_km),
     )
     total = F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["value"].cast("double"))
-    too_far = F.raise_error(F.lit(f"latitude beyond {max_latitude}")).cast("double")
     return (
         points.withColumns(
             {
@@ -163,9 +146,7 @@ def sum_in_radius(
         )
         .withColumns({"_ri": cell(F.col("_row"), _BLOCK), "_rj": cell(F.col("_col"), _BLOCK)})
         .join(around, ["_ri", "_rj"], "left")
-        .withColumn(
-            out, F.when(F.abs(lat) > max_latitude, too_far).otherwise(F.coalesce(total, F.lit(0.0)))
-        )
+        .withColumn(out, F.coalesce(total, F.lit(0.0)))
         .drop("_row", "_col", "_ri", "_rj", "_near")
     )
 

@@ -119,14 +119,11 @@ def label_transactions(checked: DataFrame, config: PipelineConfig = DEFAULTS) ->
     serves sales, returns, anomalies, outliers and rejected rows.
     """
     priced = unit_price(classify(checked))
-    bounds = price_bounds(priced.where(F.col(KIND) == SALE), config)
-    bound_columns = [c for c in bounds.columns if c != "SKU_ID"] + ["sku_price_outlier_flag"]
-    sale = F.col(KIND) == SALE
-    marked = flag_price_outliers(priced, bounds, config)
-    marked = marked.withColumns({c: F.when(sale, F.col(c)) for c in bound_columns})
-    return marked.withColumn(
+    sales = priced.where(F.col(KIND) == SALE)
+    marked = flag_price_outliers(sales, price_bounds(sales, config), config).withColumn(
         KIND, F.when(F.col("sku_price_outlier_flag") == 1, PRICE_OUTLIER).otherwise(F.col(KIND))
     )
+    return marked.unionByName(priced.where(F.col(KIND) != SALE), allowMissingColumns=True)
 
 
 def sales_rows(labelled: DataFrame) -> DataFrame:

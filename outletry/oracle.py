@@ -110,9 +110,14 @@ def season(x: str) -> str:
 
 
 def day(x: str) -> str:
-    return (
-        f"coalesce(CAST(try_strptime({x}, '%m/%d/%Y') AS DATE), CAST(try_strptime({x}, '%Y-%m-%d') AS DATE))"
-    )
+    layouts = ("%m/%d/%Y", "%Y-%m-%d", "%Y/%m/%d", "%m-%d-%Y", "%d-%b-%Y")
+    days = ", ".join(f"CAST(try_strptime({x}, '{y}') AS DATE)" for y in layouts)
+    return f"""coalesce({days}, CASE WHEN regexp_matches({x}, '(Z|[+-]\\d\\d:\\d\\d)$') THEN CAST({utc(x)} AS DATE)
+      ELSE CAST(try_cast({x} AS TIMESTAMP) AS DATE) END)"""
+
+
+def utc(x: str) -> str:
+    return f"make_timestamp(epoch_us(try_cast({x} AS TIMESTAMPTZ)))"
 
 
 def mentions(x: str, words) -> str:
@@ -769,9 +774,19 @@ CTE["gapped"] = """
 # --- the checks ------------------------------------------------------------------------------
 
 check("scan_csv_roundtrip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer", "c_acctbal")
-check("bronze_landing", """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name,
-    CAST(s_nationkey AS VARCHAR) AS s_nationkey, CAST(s_acctbal AS VARCHAR) AS s_acctbal,
-    'supplier.parquet' AS _source_file FROM supplier""")
+_RAW_COLUMNS = {
+    "transactions": config.TRANSACTION_COLUMNS,
+    "outlet_master": ("Outlet_ID", "Outlet_Size", "Outlet_Type", "Cooler_Count"),
+    "outlet_coordinates": ("Outlet_ID", "Latitude", "Longitude"),
+    "seasonality": ("Distributor_ID", "Year", "Month", "Seasonality_Index"),
+    "holidays": ("Date", "Holiday_Name", "Holiday_Type"),
+}
+check("bronze_landing", " UNION ALL ".join(
+    f"""SELECT '{n}' AS dataset, count(*) AS rows, count(*) AS row_ids, CAST(0 AS BIGINT) AS no_source,
+      CAST(0 AS BIGINT) AS broken_lines FROM raw_{n}""" for n in _RAW_COLUMNS))
+check("checkpoint_resume", """SELECT o_custkey AS place, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders
+    FROM orders GROUP BY ALL""")
+check("optional_table", "SELECT s_suppkey, s_name FROM supplier")
 check("clean_columns", "SELECT p_partkey, p_name, p_size FROM part")
 check("resolve_aliases", f"""SELECT Outlet_ID AS location_name, {num('Latitude')} AS latitude,
     {num('Longitude')} AS longitude FROM raw_outlet_coordinates
@@ -786,15 +801,14 @@ check("profile_dataset", " UNION ALL ".join(
     f"SELECT '{n}' AS file, count(*) AS rows, {k} AS cols FROM raw_{n}"
     for n, k in (("transactions", 7), ("outlet_master", 4), ("outlet_coordinates", 3), ("seasonality", 4),
                  ("holidays", 3))))
-_MASTER = ("Outlet_ID", "Outlet_Size", "Outlet_Type", "Cooler_Count")
 check("profile_columns", " UNION ALL ".join(f"""
-    SELECT 'outlet_master' AS file, '{c}' AS "column", 'string' AS dtype, count(*) - count({c}) AS missing_count,
+    SELECT '{n}' AS file, '{c}' AS "column", 'string' AS dtype, count(*) - count({c}) AS missing_count,
       round_even((count(*) - count({c})) / count(*), 4) AS missing_ratio, count(DISTINCT {c}) AS unique_count,
-      round_even(count(DISTINCT {c}) / count(*), 4) AS unique_ratio FROM raw_outlet_master""" for c in _MASTER))
+      round_even(count(DISTINCT {c}) / count(*), 4) AS unique_ratio FROM raw_{n}""" for n, cs in _RAW_COLUMNS.items() for c in cs))
 check("profile_samples", " UNION ALL ".join(f"""
-    SELECT 'outlet_master' AS file, '{c}' AS "column", CAST(to_json(list(v ORDER BY f, v)) AS VARCHAR) AS sample_values
-    FROM (SELECT {c} AS v, min(_row_id) AS f FROM raw_outlet_master WHERE {c} IS NOT NULL GROUP BY {c}
-      ORDER BY f, v LIMIT 5)""" for c in _MASTER))
+    SELECT '{n}' AS file, '{c}' AS "column", CAST(to_json(list(v ORDER BY f, v)) AS VARCHAR) AS sample_values
+    FROM (SELECT {c} AS v, min(_row_id) AS f FROM raw_{n} WHERE {c} IS NOT NULL GROUP BY {c}
+      ORDER BY f, v LIMIT 5)""" for n, cs in _RAW_COLUMNS.items() for c in cs))
 _CHECKED = {"outlet_master": "master_checked", "outlet_coordinates": "coords_checked",
             "distributor_seasonality": "season_checked", "holiday_list": "hol_checked",
             "transactions": "tx_rejected"}
@@ -807,7 +821,11 @@ check("union_rejected", """
     UNION ALL SELECT 'outlet_coordinates', _row_id, Outlet_ID, NULL, NULL, NULL, array_to_string(reasons, ' | ')
       FROM coords_checked WHERE len(reasons) > 0
     UNION ALL SELECT 'distributor_seasonality', _row_id, NULL, Distributor_ID, Year, Month,
-      array_to_string(reasons, ' | ') FROM season_checked WHERE len(reasons) > 0""")
+      array_to_string(reasons, ' | ') FROM season_checked WHERE len(reasons) > 0
+    UNION ALL SELECT 'holiday_list', _row_id, NULL, NULL, NULL, NULL, array_to_string(reasons, ' | ')
+      FROM hol_checked WHERE len(reasons) > 0
+    UNION ALL SELECT 'transactions', NULL, Outlet_ID, Distributor_ID, Year, Month,
+      array_to_string(reasons, ' | ') FROM tx_rejected""")
 _LOAD = "count(*) AS raw_rows, count(*) FILTER (len(reasons) = 0) AS silver_rows, count(*) FILTER (len(reasons) > 0) AS rejected_rows"
 check("silver_quality_summary", f"""
     SELECT 'outlet_master' AS dataset, {_LOAD},
@@ -816,7 +834,8 @@ check("silver_quality_summary", f"""
       CAST(NULL AS BIGINT) AS lat_lon_swapped_corrected_rows FROM master_checked
     UNION ALL SELECT 'outlet_coordinates', {_LOAD}, NULL, NULL,
       count(*) FILTER (len(reasons) = 0 AND coordinate_corrected_flag = 1) FROM coords_checked
-    UNION ALL SELECT 'distributor_seasonality', {_LOAD}, NULL, NULL, NULL FROM season_checked""")
+    UNION ALL SELECT 'distributor_seasonality', {_LOAD}, NULL, NULL, NULL FROM season_checked
+    UNION ALL SELECT 'holiday_list', {_LOAD}, NULL, NULL, NULL FROM hol_checked""")
 check("transaction_quality_summary", """
     SELECT 'transactions' AS dataset, *, round_even(returns_silver_rows / raw_rows, 5) AS negative_return_share_of_raw,
       round_even(billing_anomaly_rows / raw_rows, 5) AS zero_volume_billing_anomaly_share_of_raw,
@@ -882,11 +901,16 @@ check("label_score", f"""SELECT _row_id, {values(season('Seasonality_Index'), co
     AS seasonality_score, CAST({values(season('Seasonality_Index'), config.SEASONALITY_MULTIPLIER, '1.0')} AS DOUBLE)
     AS seasonality_multiplier FROM raw_seasonality""")
 check("parse_dates", f"SELECT _row_id, {day(sq('Date'))} AS holiday_date FROM raw_holidays")
+_ZONED = """concat(strftime(o_orderdate, '%Y-%m-%d'), 'T', lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0'), ':30:00',
+    CASE o_orderkey % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '-05:00' ELSE '+05:30' END)"""
+check("zoned_dates", f"""SELECT o_orderkey, CAST({utc(_ZONED)} AS DATE) AS utc_day,
+    strftime({utc(_ZONED)}, '%Y-%m') AS month FROM orders""")
 check("calendar_parts", f"SELECT o_orderkey, {parts('CAST(o_orderdate AS DATE)')} FROM orders")
 check("month_spine", """
     SELECT strftime(d, '%Y-%m') AS month, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month_num,
       CAST(year(d) * 12 + month(d) AS INTEGER) AS month_index, coalesce(n, 0) AS order_count
-    FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS d)
+    FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders),
+      (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH)) AS d)
     LEFT JOIN (SELECT strftime(o_orderdate, '%Y-%m') AS om, count(*) AS n FROM orders GROUP BY ALL)
       ON strftime(d, '%Y-%m') = om""")
 
@@ -1013,8 +1037,8 @@ check("submission", "SELECT Outlet_ID, Maximum_Monthly_Liters FROM gapped", "Max
 check("validate_output", """SELECT count(*) AS submission_rows, count(*) - count(DISTINCT Outlet_ID) AS duplicate_outlet_ids,
     count(*) FILTER (Maximum_Monthly_Liters IS NULL) AS missing_predictions,
     'Outlet_ID, Maximum_Monthly_Liters' AS submission_columns,
-    CAST(count(*) = count(DISTINCT Outlet_ID) AND count(*) = count(Maximum_Monthly_Liters) AS INTEGER)
-      AS official_format_valid FROM gapped""")
+    CAST(count(*) = count(DISTINCT Outlet_ID) AND count(*) = count(Maximum_Monthly_Liters)
+      AND count(*) = (SELECT count(*) FROM outlets) AS INTEGER) AS official_format_valid FROM gapped""")
 check("potential_summary", """SELECT count(*) AS total_outlets, count(DISTINCT Outlet_ID) AS unique_outlets,
     count(*) - count(DISTINCT Outlet_ID) AS duplicate_outlet_rows, count(DISTINCT Outlet_Type) AS cluster_count,
     min(Maximum_Monthly_Liters) AS min_prediction, avg(Maximum_Monthly_Liters) AS mean_prediction,

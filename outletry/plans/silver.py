@@ -8,7 +8,7 @@ from outletry.config import DEFAULTS, PipelineConfig
 from outletry.operators import holidays, outlets, seasonality, transactions
 from outletry.operators.density import fill_density, monthly_density, yearly_population
 from outletry.operators.repeats import ROW_ID
-from outletry.operators.rules import valid_rows
+from outletry.operators.rules import BROKEN_LINE, valid_rows, with_broken_lines
 from outletry.operators.spatial import map_with_fallback, nearest_region, points_in_regions, sum_in_radius
 from outletry.session import stage
 
@@ -27,7 +27,9 @@ def silver_seasonality(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> Dat
 
 def labelled_transactions(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> DataFrame:
     """The checked rows are staged: the price bounds read them before the final labels can."""
-    checked = stage(transactions.check_transactions(raw, config), "checked_transactions")
+    checked = stage(
+        with_broken_lines(transactions.check_transactions(raw, config)).drop(BROKEN_LINE), "checked_transactions"
+    )
     return transactions.label_transactions(checked, config)
 
 

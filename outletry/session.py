@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(name: str = "outletry", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,7 +39,10 @@ def build_session(name: str = "outletry", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach, named by the cluster in ``spark.checkpoint.dir``."""
+    """Folder that every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a folder of its own, which goes when the process ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
@@ -44,10 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="outletry-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
     return _LOCAL["folder"]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage in a place that outlives an executor, and the reread table carries real
@@ -55,5 +62,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path, partitionBy=partition_by)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every table this application has staged; for the end of a run, when results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

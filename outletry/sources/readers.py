@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from outletry.config import LOCATION_ALIASES
 from outletry.functions.numeric import to_number
 from outletry.operators.repeats import ROW_ID
+from outletry.operators.rules import BROKEN_LINE
 
-CORRUPT = "_corrupt_record"
+CORRUPT = BROKEN_LINE
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -23,13 +24,14 @@ def text_schema(columns: list[str]) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All-text scan of a CSV file or folder with a header.
 
-    Malformed lines do not stop the scan; with a given schema they are kept in ``_corrupt_record``.
+    Malformed lines do not stop the scan; they are kept whole in ``_corrupt_record``. Without given columns
+    the header names them.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if columns is not None:
-        schema = text_schema(columns).add(CORRUPT, T.StringType())
-        reader = reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.csv(path)
+    if columns is None:
+        columns = reader.csv(path).columns
+    schema = text_schema(columns).add(CORRUPT, T.StringType())
+    return reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
 def clean_columns(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from outletry.operators.holidays import month_features
 from outletry.operators.monthly import monthly_sales, primary_distributor
 from outletry.operators.spatial import boxes_as_regions
+from outletry.operators.transactions import KIND
 from outletry.plans import gold, silver
 from outletry.plans.gold import SalesFacts, SilverTables
 from outletry.session import stage
@@ -28,11 +29,12 @@ class Lake:
         self._tables: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return raw_table(self.spark, self.sf_dir, name)
+        """A raw table, landed once as Bronze."""
+        return self._layer(f"bronze_{name}", lambda: raw_table(self.spark, self.sf_dir, name))
 
-    def _layer(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _layer(self, name: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = stage(build(), name)
+            self._tables[name] = stage(build(), name, by)
         return self._tables[name]
 
     @property
@@ -60,7 +62,7 @@ class Lake:
     @property
     def labelled(self) -> DataFrame:
         return self._layer(
-            "transactions", lambda: silver.labelled_transactions(self.raw("transactions"))
+            "transactions", lambda: silver.labelled_transactions(self.raw("transactions")), [KIND]
         )
 
     @cached_property

@@ -130,8 +130,13 @@ RAW_SQL: dict[str, str] = {
     "holidays": f"""
         SELECT
           CASE WHEN o_orderkey % 113 = 5 THEN 'not a date'
-               WHEN o_orderkey % 7 = 3 THEN concat(CAST(y AS STRING), '-',
-                 lpad(CAST(m AS STRING), 2, '0'), '-', lpad(CAST(d AS STRING), 2, '0'))
+               WHEN o_orderkey % 7 = 3 THEN iso
+               WHEN o_orderkey % 7 = 4 THEN concat(iso, 'T18:30:00.000Z')
+               WHEN o_orderkey % 7 = 5 THEN concat(iso, ' 00:00:00')
+               WHEN o_orderkey % 11 = 6 THEN concat(iso, 'T22:30:00-05:00')
+               WHEN o_orderkey % 11 = 7 THEN replace(iso, '-', '/')
+               WHEN o_orderkey % 11 = 8 THEN concat(CAST(d AS STRING), '-',
+                 substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * m - 2, 3), '-', CAST(y AS STRING))
                ELSE concat(CAST(m AS STRING), '/', CAST(d AS STRING), '/', CAST(y AS STRING))
                END AS Date,
           CASE o_custkey % 12
@@ -144,6 +149,9 @@ RAW_SQL: dict[str, str] = {
             WHEN 3 THEN 'poya' WHEN 4 THEN 'Poya Day' WHEN 5 THEN NULL
             ELSE 'Working Day' END AS Holiday_Type,
           o_orderkey * 4 + copy_no AS _row_id
+        FROM (
+          SELECT *, concat(CAST(y AS STRING), '-', lpad(CAST(m AS STRING), 2, '0'), '-',
+            lpad(CAST(d AS STRING), 2, '0')) AS iso
         FROM (
           SELECT o_orderkey, o_custkey,
             {_YEAR.format('o_orderdate')} AS y,
@@ -153,6 +161,7 @@ RAW_SQL: dict[str, str] = {
               ELSE <list>(0) END) AS copy_no
           FROM @orders
         ) copies
+        ) days
     """,
     # A raster of 0.01 degree cells: every line adds people to one cell.
     "population_grid": """
@@ -197,20 +206,8 @@ def duckdb_text(sql: str) -> str:
     return re.sub(r"@(\w+)", r"\1", sql).replace("<each>", "unnest").replace("<list>", "list_value")
 
 
-# Tables worth spreading when their files hold fewer splits than there are cores.
-_SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey"}
-
-
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a fact table in too few splits is spread over the cores by its key.
-
-    On large inputs the scan has more splits than cores and nothing is moved.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _SPREAD_BY and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, _SPREAD_BY[name])
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from outletry.config import DEFAULTS
 from outletry.operators import (
-    density, gold, holidays, imputer, monthly, outlets, potential, reports, rules, seasonality, spatial, transactions,
+    clustering, density, gold, holidays, imputer, monthly, outlets, potential, reports, rules, seasonality, spatial, transactions,
 )
-from outletry.operators.quantiles import group_quantiles
+from outletry.operators.quantiles import group_quantiles, magnitude_bucket
 from outletry.operators.repeats import REPEAT, mark_repeats
 from outletry.plans import silver
 from outletry.sources import readers, writers
@@ -223,18 +223,32 @@ def test_radius_sum_equals_brute_force(spark):
     assert all(r["total"] == want.get((r["latitude"], r["longitude"]), 0.0) for r in got)
 
 
-def test_nearest_region_by_array_and_by_tree_agree(spark, monkeypatch):
+@pytest.mark.parametrize("n", [30, 1500])
+def test_nearest_region_is_the_same_search_at_any_size(spark, n):
     rng = random.Random(1)
-    regions = spark.createDataFrame(
-        [(f"r{i}", rng.uniform(79, 82), rng.uniform(5, 10)) for i in range(30)],
-        "region string, centroid_lon double, centroid_lat double")
-    points = spark.createDataFrame(
-        [(i, rng.uniform(5, 10), rng.uniform(79, 82), "r0" if i % 4 == 0 else None) for i in range(50)],
-        "i int, latitude double, longitude double, region string")
-    by_array = {r["i"]: r["region"] for r in spatial.nearest_region(points, regions).collect()}
-    monkeypatch.setattr(spatial, "MAX_CENTROID_ARRAY", 3)
-    by_tree = {r["i"]: r["region"] for r in spatial.nearest_region(points, regions).collect()}
-    assert by_array == by_tree and all(by_array.values())
+    sites = [(f"r{i}", rng.uniform(79, 82), rng.uniform(5, 10)) for i in range(n)]
+    regions = spark.createDataFrame(sites, "region string, centroid_lon double, centroid_lat double")
+    spots = [(i, rng.uniform(5, 10), rng.uniform(79, 82), "r0" if i % 4 == 0 else None) for i in range(50)]
+    spots += [(50, None, 80.0, None), (51, None, None, "r1")]
+    points = spark.createDataFrame(spots, "i int, latitude double, longitude double, region string")
+    got = {r["i"]: r["region"] for r in spatial.nearest_region(points, regions).collect()}
+    for i, lat, lon, region in spots:
+        near = None if lat is None else min(sites, key=lambda s: ((s[2] - lat) ** 2 + (s[1] - lon) ** 2, s[0]))[0]
+        assert got[i] == (region or near)
+
+
+def test_radius_sum_at_high_latitudes(spark):
+    import math
+
+    points = [(0, 70.0, 20.0), (1, -85.0, 20.0), (2, 0.0, 20.0), (3, None, 20.0)]
+    cells = [(lat, 2000 + d, 1.0) for lat in (7000, -8500, 0) for d in range(-60, 61)]
+    got = {r["i"]: r["total"] for r in spatial.sum_in_radius(
+        spark.createDataFrame(points, "i int, latitude double, longitude double"),
+        spark.createDataFrame(cells, "row_no int, col_no int, people double"), "people", "total", 1.5).collect()}
+    for i, lat, _ in points[:3]:
+        reach = sum(1 for d in range(-60, 61) if math.radians(abs(d) * 0.01) * math.cos(math.radians(lat)) * 6371.0088 <= 1.5)
+        assert got[i] == reach
+    assert got[3] == 0.0
 
 
 def test_density_fill(spark):
@@ -375,8 +389,62 @@ def test_recency_by_rows_and_by_calendar_differ(spark):
     assert by_rows["b"]["recent_3_month_avg_liters"] == 7.0 and by_date["b"]["recent_3_month_avg_liters"] is None
 
 
-def test_crowded_category_is_hashed(spark, monkeypatch):
-    monkeypatch.setattr(imputer, "MAX_LEVELS", 4)
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
-    assert imputer.crowded_columns(df, ["c", "d"]) == {"c"}
-    assert df.select(imputer.level("c", {"c"}).alias("l")).distinct().count() <= 4
+def test_open_categories_are_hashed_at_any_size(spark):
+    for n in (3, 1500):
+        df = spark.range(n).select(F.concat(F.lit("D"), "id").alias("Distributor_ID"), F.lit("x").alias("Outlet_Type"))
+        out = df.select(imputer.level("Distributor_ID").alias("d"), imputer.level("Outlet_Type").alias("t")).distinct().collect()
+        assert all(r["d"].startswith("bucket ") and r["t"] == "x" for r in out)
+        assert len(out) == 3 if n == 3 else 600 < len(out) <= 1024
+
+
+def test_small_values_spread_over_buckets(spark):
+    df = spark.range(100_000).select(((F.col("id") + 1) / F.lit(1e8)).alias("v"), F.lit(1).alias("k"))
+    most = df.groupBy(magnitude_bucket(F.col("v"))).count().agg(F.max("count")).first()[0]
+    assert most <= 11
+    got = group_quantiles(df, ["k"], "v", {"a": 0.3, "b": 0.77}).first()
+    want = df.agg(F.percentile("v", F.lit(0.3)), F.percentile("v", F.lit(0.77))).first()
+    assert (got["a"], got["b"]) == pytest.approx(tuple(want), rel=1e-12)
+
+
+def test_broken_lines_and_second_run(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4,5\n6,7\n")
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert rows.columns == ["x", "y", readers.CORRUPT]
+    checked = rules.with_broken_lines(rules.with_reasons(rows, []))
+    assert [r["_corrupt_record"] for r in rules.rejected_rows(checked).collect()] == ["3,4,5"]
+    path = str(tmp_path / "years")
+    first = spark.createDataFrame([("a", 1.0, 2023, 5), ("a", 1.0, 2024, 6)], "p string, lat double, year int, v int")
+    second = first.unionByName(spark.createDataFrame([("b", 2.0, 2023, 7), ("a", 9.0, 2023, 8)], first.schema))
+    assert writers.add_years(first, path, ["p", "lat"]).count() == 2
+    changed = second.withColumn("v", F.col("v") + 100)
+    got = {(r["p"], r["lat"], r["year"]): r["v"] for r in writers.add_years(changed, path, ["p", "lat"]).collect()}
+    assert got == {("a", 1.0, 2023): 5, ("a", 1.0, 2024): 6, ("b", 2.0, 2023): 107, ("a", 9.0, 2023): 108}
+
+
+def test_empty_table_has_a_row_per_column(spark):
+    rows = reports.column_summary(spark.createDataFrame([], "a string, b string, _row_id long"), "t").collect()
+    assert {(r["column"], r["missing_count"], r["unique_count"]) for r in rows} == {("a", 0, 0), ("b", 0, 0)}
+
+
+def test_staged_tables_are_dropped(spark, tmp_path):
+    from outletry import session
+
+    before = session._STAGED.pop(spark.sparkContext.applicationId, [])
+    df = session.stage(spark.range(5).selectExpr("id", "id % 2 AS k"), "dropped", ["k"])
+    assert df.where("k = 1").count() == 2 and df.columns == ["id", "k"]
+    session.drop_staged(spark)
+    assert not [p for p in __import__("os").listdir(session.shared_folder(spark)) if p.startswith("dropped")]
+    session._STAGED[spark.sparkContext.applicationId] = before
+
+
+def test_group_spread_equals_the_library(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(2)
+    df = spark.createDataFrame(
+        [(rng.gauss(g * 3, 1), rng.gauss(g, 1), g) for g in range(3) for _ in range(30)] + [(9.0, 9.0, 7)], "a double, b double, g int")
+    got = clustering.group_spread(df, ["a", "b"], "g")
+    want = ClusteringEvaluator(featuresCol="f", predictionCol="g").evaluate(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df))
+    total = got.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("s"), F.sum("inertia").alias("i")).first()
+    assert total["s"] == pytest.approx(want, abs=1e-9) and total["i"] > 0
