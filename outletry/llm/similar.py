@@ -127,6 +127,6 @@ def similar_components(
         ),
         "verified",
     )
-    small = found.where("whole").groupBy("node").agg(F.min("root").alias("component"))
-    large = components(found.where("not whole"), "node", "root")
-    return small.where("node is not null").unionAll(large)
+    small = found.where("whole and node <> root").select("node", F.col("root").alias("component")).distinct()
+    tops = small.select(F.col("component").alias("node"), "component").distinct()
+    return small.unionAll(tops).unionAll(components(found.where("not whole"), "node", "root"))
