@@ -79,12 +79,13 @@ def test_licences_are_found_and_others_left(make_docs):
         "This work is licensed under the GNU General Public License, version 3.", f"{prose}\nAll rights reserved.",
         "Licensed under CC BY-NC 4.0.", prose, None, "", "He lost the driving license in the city.", f"{prose} " * 2000,
         "permission is hereby granted, free of charge, to any person obtaining a copy", "Released under the MIT License.",
+        "Licensed under the Common Development and Distribution License, version 1.1.",
     ]
     rows = licences(make_docs(texts)).collect()
-    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in rows if r["confirmed"]}
+    other = [r for r in rows if r["doc_id"] == 12]
+    assert not [r for r in other if r["confirmed"] and r["family"] in ("mit", "apache")]
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in rows if r["confirmed"] and r["doc_id"] != 12}
     assert got == {
         (0, 1): "mit", (1, 1): "apache", (2, 0): "gpl", (3, 1): "proprietary", (4, 0): "cc-by-nc", (10, 0): "mit", (11, 0): "mit"}
     assert all(0 <= r["probability"] <= 1 and 0 <= r["similarity"] <= 1 for r in rows)
-    other = licences(make_docs(["Licensed under the Common Development and Distribution License, version 1.1."])).collect()
-    assert not [r for r in other if r["confirmed"] and r["family"] in ("mit", "apache")]
     assert licences(make_docs(["x"]).limit(0)).count() == 0
