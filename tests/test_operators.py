@@ -334,7 +334,7 @@ def test_sources(spark, tmp_path):
     folder.mkdir()
     (folder / "a.csv").write_text("Outlet ID , V \nO1,1\nO2,\n")
     df = readers.with_lineage(readers.clean_columns(readers.read_csv(spark, str(folder))))
-    assert df.columns == ["Outlet_ID", "V", "_source_file", "_row_id"]
+    assert df.columns == ["Outlet_ID", "V", readers.CORRUPT, "_source_file", "_row_id"]
     assert [r["_source_file"] for r in df.collect()] == ["a.csv", "a.csv"]
     sizes = reports.file_sizes(readers.read_csv(spark, str(folder))).first()
     assert (sizes["file"], sizes["rows"]) == ("a.csv", 2)
