@@ -17,9 +17,10 @@ def magnitude_bucket(value: Column) -> Column:
     """Order-preserving coarse bucket of a double: the value rounded to four significant digits.
 
     That is about 9,000 buckets for every power of ten, below 1 as well as above, of either sign. Rounding
-    decimal digits keeps the order and needs no statistics of the data, so every evaluation agrees.
+    decimal digits keeps the order and needs no statistics of the data, so every evaluation agrees. Null
+    stays null.
     """
-    return F.format_string("%.3e", value).cast("double")
+    return F.format_string("%.3e", value).try_cast("double")
 
 
 def group_quantiles(
