@@ -3,9 +3,12 @@
 import pytest
 from compare import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from outletry.catalog import QUERIES
+from outletry.config import DEFAULTS
+from outletry.oracle import ORACLES
 
-MODELS = sorted(set(queries()) - set(oracle_sql()))
+MODELS = sorted(set(QUERIES) - set(ORACLES))
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonMapInArrow")
 
 
@@ -14,14 +17,14 @@ def database(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, database, sf_dir, name):
     assert differences(spark, database, name, sf_dir) == []
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_plan_stays_in_the_engine(spark, sf_dir, name):
-    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in FORBIDDEN if word in plan]
 
 
@@ -34,12 +37,25 @@ def test_only_models_have_no_sql():
 
 @pytest.mark.parametrize("name", ["impute_category", "impute_summary", "feature_importance", "low_confidence_imputations"])
 def test_imputer_queries(spark, sf_dir, name):
-    rows = queries()[name](spark, sf_dir).collect()
+    rows = QUERIES[name](spark, sf_dir).collect()
     assert rows or name == "low_confidence_imputations"
     if name == "impute_category":
         assert all(r["Outlet_Size"] for r in rows)
         assert all(0 < r["Outlet_Size_Confidence"] <= 1 for r in rows if r["Outlet_Size_Imputed"])
 
 
+@pytest.mark.parametrize("name", ["cv_metrics", "k_selection", "cluster_outlets", "clustered_potential"])
+def test_model_queries(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).collect()
+    assert rows
+    if name == "k_selection":
+        assert sorted(r["k"] for r in rows) == list(range(DEFAULTS.k_min, DEFAULTS.k_max + 1))
+        assert all(-1 <= r["silhouette_score"] <= 1 for r in rows)
+    if name == "cv_metrics":
+        assert len(rows) <= DEFAULTS.max_folds and all(0 <= r["accuracy"] <= 1 for r in rows)
+    if name == "clustered_potential":
+        assert all(r["Maximum_Monthly_Liters"] >= (r["own_january_peak_liters"] or 0) - 0.01 for r in rows)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
