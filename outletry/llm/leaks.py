@@ -34,8 +34,11 @@ def normalised(text: str | None) -> str:
 
 def windows_of(text: str | None, size: int = WINDOW) -> list[str]:
     """All runs of ``size`` words; a shorter text, if it has words, is one run."""
-    words = normalised(text).split()
-    return [f" {' '.join(words[k : k + size])} " for k in range(max(1, len(words) - size + 1))] if words else []
+    plain = normalised(text)
+    if not plain:
+        return []
+    words = plain[1:-1].split(" ")  # white space outside ASCII belongs to words
+    return [f" {' '.join(words[k : k + size])} " for k in range(max(1, len(words) - size + 1))]
 
 
 def _windows(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:

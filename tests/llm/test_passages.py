@@ -72,6 +72,19 @@ def test_leaks_of_odd_tables(spark, make_docs):
     assert windows_of("A b!") == [" a b "]
 
 
+def test_benchmark_items_keep_white_space_outside_ascii_in_words(spark, make_docs):
+    blanks = "\u00a0\u0085\u2000\u200a\u2028\u2029\u202f\u3000"
+    items = [(k, f"Quel mot{c}? dit-il, un deux trois quatre cinq six{c}sept huit neuf dix") for k, c in enumerate(blanks)]
+    items += [(20, "mot\u00a0?"), (21, "\u3000"), (22, "a\u3000b\u2028c")]
+    texts = [t for _, t in items] + [f"x {t.upper()}, y" for _, t in items] + ["mot ?", "a b c", " ".join(t for _, t in items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in leaks.leaks(make_docs(texts), bench).collect():
+        n, hit, names = brute(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["items"]) == (n, names)
+        assert sum(s["end_word"] - s["first_word"] for s in r["spans"]) == hit
+    assert windows_of("\u00c9t\u00e9\u3000A b") == [" \u00c9t\u00e9\u3000a b "]
+
+
 def test_licences_are_found_and_others_left(make_docs):
     prose = "The cat sat on the mat and looked at the public library across the road for a while."
     texts = [
