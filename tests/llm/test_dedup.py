@@ -139,3 +139,27 @@ def test_paragraphs_of_odd_rows(make_docs):
     assert rows == {(5, 1, 5, False), (9, 0, 5, True)}
     assert without_repeats(docs).count() == 6
     assert repeated_paragraphs(docs.limit(0)).count() == 0
+
+
+def test_passages_of_short_lines_are_found(make_docs):
+    rng = random.Random(3)
+    lines = lambda n, size=9: [" ".join(words(rng, size)) for _ in range(n)]
+    p, q, stanza, wrapped = lines(7), lines(8), lines(6), words(rng, 70)
+    near = [*q[:3], q[3].rsplit(" ", 1)[0] + " other", *q[4:]]
+    cut = [" ".join(wrapped[k : k + 10]) for k in range(0, 70, 10)]
+    texts = [
+        [*lines(2), *p, *lines(2)], [*lines(1), *p, *lines(1)],  # exact, inside other short lines
+        ["", *q, ""], [*lines(1, 60), *near, *lines(1, 60)],  # an edited block
+        [*stanza[:3], "", *stanza[3:]], [*lines(1), *stanza, *lines(1)],  # over a blank line
+        [" ".join(wrapped)], ["", *cut, ""],  # one long line, wrapped
+        ["la la la la la"] * 60,  # overlaps itself
+    ]
+    docs = make_docs(["\n".join(t) for t in texts])
+    left = {r["doc_id"]: r["text"].split("\n") for r in without_repeats(docs).collect()}
+    for i in (0, 2, 4, 6):
+        assert left[i] == texts[i]
+    assert left[1] == [texts[1][0], texts[1][-1]]
+    assert left[3] == [texts[3][0], texts[3][-1]]
+    assert left[5] == [texts[5][0], texts[5][-1]]
+    assert left[7] == ["", ""]
+    assert 8 <= len(left[8]) < 60 and set(left[8]) == {"la la la la la"}
