@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of every group of near-duplicates, of similarity 0.8 or more."""
+    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 

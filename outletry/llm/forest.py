@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,20 +18,33 @@ from outletry.session import stage
 
 TREES = 16
 TREE_DEPTH = 8
-#: Two documents meet in a tree from this depth on. At similarity 0.85 all 16 trees miss a pair with
-#: probability (1 - 0.85 ** 4) ** 16 = 7e-6.
-LEAST_DEPTH = 4
+#: Largest chance that a pair of the asked similarity meets in no tree.
+MISS = 2e-5
 #: A region of a tree with more rows than this is descended to the full depth.
 DENSE_REGION = 1024
 #: Nearest rows in sorted order that become candidates.
 NEIGHBOURS = 4
-#: Two of 128 sketch bits differ with probability (1 - J) / 2: at J = 0.85 more than 26 of 128 are
-#: over five standard deviations off.
-MOST_BITS = 26
+SKETCH_BITS = 128
+#: Sketches that differ in no more bits than this are always compared.
+LEAST_BITS = 26
 
 _SIGNED = "doc_id long, n long, k1 long, k2 long, s1 long, s2 long, signature binary"
 
 
+def tuned_forest(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(depth, sketch bits) for pairs of the given similarity or more.
+
+    Pairs meet in a tree from the depth on, the largest at which all trees miss a pair with probability
+    (1 - similarity ** depth) ** TREES of at most ``miss``: 4 and 7e-6 at 0.85, 3 and 1.0e-5 at 0.8.
+    A sketch bit differs with probability (1 - similarity) / 2; more bits than these are over five
+    standard deviations off. Below 0.49 no depth reaches the recall; then it is 1.
+    """
+    fits = [d for d in range(1, TREE_DEPTH + 1) if (1 - similarity**d) ** TREES <= miss]
+    p = (1 - similarity) / 2
+    bits = math.ceil(SKETCH_BITS * p + 5.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    return max(fits, default=1), min(max(bits, LEAST_BITS), SKETCH_BITS)
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(TREES * TREE_DEPTH)
     salt = np.uint64(0xA24BAED4963EE407)
@@ -72,14 +86,15 @@ def _trees(classes: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, percent: int = 85) -> DataFrame:
     """(a, b) of documents that are neighbours in the sorted order of a tree.
 
     Within a region the order is that of the labels, so neighbours share the longest prefixes. A
     region with very many rows is split at full depth; its members keep their neighbours in all
     other trees, and ``similar_components`` compares whatever hangs together.
     """
-    rows = _trees(classes, LEAST_DEPTH)
+    depth, most_bits = tuned_forest(percent / 100)
+    rows = _trees(classes, depth)
     dense = stage(
         rows.groupBy("region").count().where(F.col("count") > DENSE_REGION).select("region", F.lit(True).alias("dense")),
         "dense",
@@ -89,7 +104,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("region").orderBy("label", "node")
     near = F.array(*[F.lead(F.struct("node", "s1", "s2"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    close = f"x is not null and bit_count(s1 ^ x.s1) + bit_count(s2 ^ x.s2) <= {MOST_BITS}"
+    close = f"x is not null and bit_count(s1 ^ x.s1) + bit_count(s2 ^ x.s2) <= {most_bits}"
     near = rows.select("node", "s1", "s2", near.alias("near"))
     return near.select(F.col("node").alias("a"), F.explode(F.expr(f"filter(near, x -> {close})")).alias("x")).select(
         "a", F.col("x.node").alias("b")
@@ -122,7 +137,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "classes",
     )
     found = similar_components(
-        candidates(classes),
+        candidates(classes, percent),
         classes.select("node", "n"),
         # The texts move at every size: members grow with the input, so they are not broadcast.
         lambda members: members.join(docs.withColumnRenamed("doc_id", "node").hint("merge"), "node"),

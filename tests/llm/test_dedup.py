@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_hashing import plain_shingles
 
+import corpus_pipeline
 from outletry.llm import forest, similar
 from outletry.llm.components import components
 from outletry.llm.forest import near_duplicates
@@ -163,3 +164,26 @@ def test_passages_of_short_lines_are_found(make_docs):
     assert left[5] == [texts[5][0], texts[5][-1]]
     assert left[7] == ["", ""]
     assert 8 <= len(left[8]) < 60 and set(left[8]) == {"la la la la la"}
+
+
+def test_forest_follows_the_percent(spark, make_docs):
+    for percent in (60, 70, 80, 85, 95):
+        depth, bits = forest.tuned_forest(percent / 100)
+        p = (1 - percent / 100) / 2
+        assert (1 - (percent / 100) ** depth) ** forest.TREES <= 2e-5
+        assert bits >= 128 * p + 5 * (128 * p * (1 - p)) ** 0.5
+    assert forest.tuned_forest(0.85) == (4, 26)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = words(rng, 104)
+        texts += [" ".join(base), " ".join([*base[:92], *words(rng, 12)])]  # J about 88 / 112 = 0.79
+        texts.append(" ".join([*base[:94], *words(rng, 10)]))  # J about 90 / 110 = 0.82
+    units = [(i, set(plain_shingles(t))) for i, t in enumerate(texts)]
+    want = {percent: brute_components(units, percent) for percent in (60, 80, 85)}
+    assert want[80] != want[85]
+    for percent in (60, 80):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(texts), percent).collect()}
+        assert got == want[percent]
+    kept = {r["doc_id"] for r in corpus_pipeline.unique_documents(spark, make_docs(texts), "").collect()}
+    assert kept == {i for i in want[80] if want[80][i] == i}
