@@ -341,12 +341,15 @@ def test_sources(spark, tmp_path):
     assert readers.optional_table(spark, None, "Outlet_ID string").count() == 0
     path = str(tmp_path / "years")
     years = spark.createDataFrame([("a", 2023), ("b", 2024)], "k string, year int")
-    writers.write_years(years, path)
-    writers.write_years(spark.createDataFrame([("c", 2024)], years.schema), path)
-    assert writers.years_done(spark, path) == [2023, 2024]
-    assert {r["k"] for r in spark.read.parquet(path).collect()} == {"a", "c"}
-    more = spark.createDataFrame([("d", 2024), ("e", 2025)], years.schema)
-    assert [r["k"] for r in writers.years_to_do(more, path).collect()] == ["e"]
+    assert writers.years_done(spark, path) is None
+    first = writers.add_years(years, path, ["k"])
+    assert sorted((r["k"], r["year"]) for r in first.collect()) == [("a", 2023), ("b", 2024)]
+    # Running again, or with rows partly written before, gives every row once.
+    again = writers.add_years(years, path, ["k"])
+    assert sorted((r["k"], r["year"]) for r in again.collect()) == [("a", 2023), ("b", 2024)]
+    more = spark.createDataFrame([("b", 2024), ("c", 2025)], years.schema)
+    assert sorted((r["k"], r["year"]) for r in writers.add_years(more, path, ["k"]).collect()) == [("b", 2024), ("c", 2025)]
+    assert sorted((r["k"], r["year"]) for r in spark.read.parquet(path).collect()) == [("a", 2023), ("b", 2024), ("c", 2025)]
 
 
 def test_period_layouts(spark):
