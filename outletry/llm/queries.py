@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletry.llm import chat, forest, language, leaks, licences, lines, packing, paragraphs, sql, tokens, urls
+from outletry.llm import chat, forest, language, leaks, licences, lines, packing, paragraphs, phrases, sql, tokens, urls
 from outletry.session import shared_folder, stage
 
 #: Its words are cut at white space before anything else, so ids go word by word.
@@ -78,6 +78,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_rules": op2_line_rules,
@@ -89,6 +93,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chats": op8_chats,
     "op9_leaks": op9_leaks,
     "op10_licences": op10_licences,
+    "op13_collocations": op13_collocations,
 }
 LLM_ORACLES: dict[str, str] = {
     "op2_line_rules": sql.LINE_RULES,
@@ -96,4 +101,5 @@ LLM_ORACLES: dict[str, str] = {
     "op6_near_duplicates": sql.NEAR_DUPLICATES,
     "op8_chats": sql.CHATS,
     "op9_leaks": sql.LEAKS,
+    "op13_collocations": sql.COLLOCATIONS,
 }

@@ -154,3 +154,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN words_hit USING (k) LEFT JOIN named USING (k)
 """
+
+
+COLLOCATIONS = f"""
+WITH
+docs AS (SELECT coalesce(lang, 'und') AS lang, {_low("coalesce(text, '')")} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+leaves AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i + 2])) AS leaf FROM words),
+totals AS (SELECT lang, count(*) AS n FROM leaves GROUP BY lang),
+counts AS (
+  SELECT lang, lang || chr(10) || array_to_string(leaf[1:d], ' ') AS key, any_value(leaf[1:d]) AS words, count(*) AS f
+  FROM leaves CROSS JOIN (VALUES (1), (2), (3)) v(d) WHERE len(leaf) >= d GROUP BY lang, key
+),
+cands AS (SELECT lang, words, f AS a FROM counts WHERE len(words) >= 2 AND f >= 10),
+parts AS (
+  SELECT c.lang, c.words, c.a, v.k, c.lang || chr(10) || array_to_string(c.words[1:v.k], ' ') AS lw,
+    c.lang || chr(10) || array_to_string(c.words[v.k + 1:3], ' ') AS rw
+  FROM cands c CROSS JOIN (VALUES (1), (2)) v(k) WHERE v.k < len(c.words)
+),
+cuts AS (
+  SELECT p.lang, p.words, p.a, p.k, l.f AS l, r.f AS r,
+    CAST((CAST(p.a AS HUGEINT) * p.a * 1000000) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM parts p JOIN counts l ON l.key = p.lw JOIN counts r ON r.key = p.rw
+),
+weakest AS (
+  SELECT lang, words, a, l, r, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+),
+inside AS (
+  SELECT lang, key, max(a) AS outer_a FROM (
+    SELECT lang, array_to_string(words[1:2], ' ') AS key, a FROM cands WHERE len(words) = 3
+    UNION ALL SELECT lang, array_to_string(words[2:3], ' ') AS key, a FROM cands WHERE len(words) = 3
+  ) GROUP BY lang, key
+),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.key = array_to_string(w.words, ' ')
+  WHERE i.outer_a IS NULL OR 100 * i.outer_a < 50 * w.a
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+  FROM kept
+)
+SELECT k.lang, CAST(rank AS BIGINT) AS rank, array_to_string(words, ' ') AS phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked k JOIN totals t ON t.lang = k.lang
+WHERE rank <= 2000
+"""
