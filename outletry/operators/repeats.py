@@ -1,10 +1,10 @@
 """Repeated rows: the first one by row id stays, later ones are marked.
 
 Only hashes travel for rows that do not repeat: one 64-bit hash per row is counted, combined on the map side,
-and rows whose hash occurs once are done. The others, few in clean data, are compared on their whole keys,
-and the row ids of later copies are joined back. Adaptive execution broadcasts what turns out small
-and splits a hot hash of the semi-join otherwise. The source is read several times with few columns, so
-it should be a table, not a chain of joins.
+and rows whose hash occurs once are done without any further exchange. The other rows, few in clean data, meet
+the smallest row id of their whole key (an aggregate, combined on the map side, so a hot key is one partial row
+per task) by an equi-join that adaptive execution splits when one key is hot. Nothing is joined back by row id,
+so a row id that several rows share can neither multiply rows nor mark a first row by mistake.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outletry.session import stage
-
 ROW_ID = "_row_id"
 REPEAT = "_is_repeat"
 
@@ -24,30 +22,39 @@ REPEAT = "_is_repeat"
 def mark_repeats(
     df: DataFrame, keys: Sequence[str], row_id: str = ROW_ID, among: Column | None = None
 ) -> DataFrame:
-    """Add ``_is_repeat``: true for every row but the first of its key.
+    """Add ``_is_repeat``: true for every row but the first of its key, ordered by ``row_id``.
 
-    Null key values are equal to each other. With ``among`` only rows fulfilling it take part.
+    Null key values are equal to each other. With ``among`` only rows fulfilling it take part; the others
+    are false. A null row id comes after all others. Rows equal in their keys and their row id are copies of
+    one row: exactly one of them stays, which one is immaterial as they agree on every column that decides.
+    The result has the rows of ``df``, each once, in no particular order. The operator writes nothing; a
+    caller whose input is an expensive chain should stage it first, as the input is read twice.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
-    part = df if among is None else df.where(among)
-    part = part.select(
-        F.xxhash64(*keys).alias("_code"), F.col(row_id).alias("_id"),
-        *[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)],
-    )
-    seen = part.groupBy("_code").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_code")
-    # Staged, so that its measured size decides the join, and a sort-merge join can split a hot hash.
-    seen = stage(seen, "repeats")
-    again = part.join(seen, "_code", "left_semi")
-    firsts = again.groupBy(*names).agg(F.min("_id").alias("_first")).select(
-        "_first", *[F.col(n).alias(f"{n}_") for n in names]
+    names = [f"_rk{i}_" for i in range(len(keys))]
+    taking = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    hashed = df.withColumn("_rcode_", F.when(taking, F.xxhash64(*keys)))
+    seen = (
+        hashed.where(F.col("_rcode_").isNotNull())
+        .groupBy("_rcode_").agg(F.count(F.lit(1)).alias("_rn_"))
+        .where("_rn_ > 1")
+        # Keyed anew so that both sides of the joins below are exchanges of their own, which adaptive
+        # execution can split when one hash is hot; the aggregate's own partitioning would skip that.
+        .select(F.col("_rcode_").bitwiseXOR(F.lit(0)).alias("_rcode_"))
     )
-    same_key = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
-    later = again.join(firsts, same_key & (F.col("_id") > F.col("_first"))).select("_id", F.lit(True).alias("_later"))
-    return (
-        df.join(later, F.col(row_id) == F.col("_id"), "left")
-        .withColumn(REPEAT, F.coalesce("_later", F.lit(False)))
-        .drop("_id", "_later")
+    once = hashed.join(seen, "_rcode_", "left_anti").drop("_rcode_").withColumn(REPEAT, F.lit(False))
+    again = hashed.join(seen, "_rcode_", "left_semi").drop("_rcode_")
+    firsts = again.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
+        F.min(row_id).alias("_rfirst_")
     )
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    met = again.join(firsts, same_key).drop(*names)
+    rid, first = F.col(row_id), F.col("_rfirst_")
+    at_first = rid.eqNullSafe(first)
+    later = met.where(~at_first).drop("_rfirst_").withColumn(REPEAT, F.lit(True))
+    # Only rows that tie on the first id of their key meet here, one per key unless ids repeat.
+    tied = Window.partitionBy(*keys, row_id).orderBy(row_id)
+    firsts_kept = met.where(at_first).drop("_rfirst_").withColumn(REPEAT, F.row_number().over(tied) > 1)
+    return once.unionByName(later).unionByName(firsts_kept)
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

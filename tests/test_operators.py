@@ -48,6 +48,27 @@ def test_repeats_keep_the_first_and_treat_nulls_as_equal(spark):
     assert min(r["_row_id"] for r in among.collect()) == 11
 
 
+def test_repeats_with_shared_row_ids_keep_every_row_once(spark):
+    """Ids that several rows share neither multiply rows nor mark a first row; equal (key, id) keeps one."""
+    rows = [
+        (1, "a", 1), (5, "a", 1), (5, "a", 1),  # two later copies share id 5
+        (5, "b", 2),  # a first row sharing id 5 with later copies of another key
+        (7, "c", 3), (7, "c", 3),  # the first id tied: exactly one stays
+        (None, "d", 4), (2, "d", 4),  # a null id comes last
+        (None, "e", 5), (None, "e", 5),  # only null ids: one stays
+        (9, "f", 6),
+    ]
+    df = spark.createDataFrame(rows, "_row_id long, k string, v int").repartition(3)
+    got = mark_repeats(df, ["k", "v"]).collect()
+    assert len(got) == len(rows)
+    flags = sorted((r["k"], r["_row_id"] if r["_row_id"] is not None else -1, r[REPEAT]) for r in got)
+    assert flags == [
+        ("a", 1, False), ("a", 5, True), ("a", 5, True), ("b", 5, False), ("c", 7, False), ("c", 7, True),
+        ("d", -1, True), ("d", 2, False), ("e", -1, False), ("e", -1, True), ("f", 9, False),
+    ]
+    assert mark_repeats(df.limit(0), ["k"]).count() == 0
+
+
 def test_join_on_a_hot_key_is_split(spark):
     """With small limits, adaptive execution splits the hot partition of the repeat join."""
     settings = {

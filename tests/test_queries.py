@@ -22,6 +22,19 @@ def test_query_equals_sql(spark, database, sf_dir, name):
     assert differences(spark, database, name, sf_dir) == []
 
 
+#: Queries whose raw rows share row ids only at sf0.01 and above: checked there as well.
+SHARED_IDS = [
+    "dedupe_exact", "dq_rules", "classify_transactions", "safe_ratio", "silver_rejected_transactions",
+    "union_rejected", "rejection_reason_counts", "reject_share_by_key", "transaction_quality_summary",
+]
+
+
+@pytest.mark.parametrize("name", SHARED_IDS)
+def test_query_equals_sql_where_row_ids_repeat(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert differences(spark, connect(folder), name, folder) == []
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_plan_stays_in_the_engine(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
