@@ -44,7 +44,7 @@ LEAVES_PER_GROUP = 1_000_000
 _NODES = T.StructType(
     [
         T.StructField("lang", T.StringType()),
-        T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("phrase", T.StringType()),
         T.StructField("f", T.LongType()),
         T.StructField("whole", T.BooleanType()),
     ]
@@ -52,12 +52,16 @@ _NODES = T.StructType(
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """(lang, leaf, c): each truncated suffix of a piece, counted. A null text has no words; a null lang is ``und``."""
+    """(lang, leaf, c): each truncated suffix of a piece, its words joined by one blank, counted.
+
+    Words hold no blank, so the joined text names the sequence exactly. A null text has no words; a null
+    lang is ``und``.
+    """
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower())
     words = docs.select(
         F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece")
     ).select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, DEPTH))
+    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, DEPTH), " "))
     return (
         words.where(F.size("w") > 0)
         .select("lang", F.explode(starts).alias("leaf"))
@@ -67,38 +71,37 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def _subtrees(group: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of the subtrees of one group, each counted from the totals of its leaves."""
+    """Nodes of the subtrees of one group, each counted from the totals of its leaves.
+
+    Whole nodes below ``LEAST_COUNT`` are left out: no candidate and no part of one can be that rare.
+    """
     out = []
-    lang = group["lang"].to_numpy()
-    leaf = group["leaf"].to_numpy()
+    split = [leaf.split(" ") for leaf in group["leaf"]]
     c = group["c"].to_numpy()
     unit = group["unit"].to_numpy()
+    lang = group["lang"].to_numpy()
     for d in range(1, DEPTH + 1):
-        keys = [(lang[i], tuple(leaf[i][:d])) for i in range(len(leaf)) if len(leaf[i]) >= d]
-        if not keys:
+        take = [i for i, w in enumerate(split) if len(w) >= d]
+        if not take:
             continue
-        take = [i for i in range(len(leaf)) if len(leaf[i]) >= d]
-        part = pd.DataFrame({"k": keys, "c": c[take], "whole": unit[take] <= d})
-        summed = part.groupby("k", sort=False).agg(f=("c", "sum"), whole=("whole", "first"))
-        out.append(
-            pd.DataFrame(
-                {
-                    "lang": [k[0] for k in summed.index],
-                    "words": [list(k[1]) for k in summed.index],
-                    "f": summed["f"].to_numpy(dtype="int64"),
-                    "whole": summed["whole"].to_numpy(dtype=bool),
-                }
-            )
+        part = pd.DataFrame(
+            {"lang": lang[take], "phrase": [" ".join(split[i][:d]) for i in take], "c": c[take], "whole": unit[take] <= d}
         )
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["lang", "words", "f", "whole"])
+        summed = part.groupby(["lang", "phrase"], sort=False).agg(f=("c", "sum"), whole=("whole", "first")).reset_index()
+        out.append(summed[~summed["whole"] | (summed["f"] >= LEAST_COUNT)])
+    if not out:
+        return pd.DataFrame({"lang": [], "phrase": [], "f": [], "whole": []})
+    return pd.concat(out, ignore_index=True)[["lang", "phrase", "f", "whole"]]
 
 
 def node_counts(counted: DataFrame, leaves_per_group: int = LEAVES_PER_GROUP) -> DataFrame:
-    """(lang, words, f) for every word sequence of 1 to ``DEPTH`` words, by vertical partitioning of the leaves."""
-    first2 = F.slice("leaf", 1, 2)
+    """(lang, phrase, f) for every word sequence of 1 to ``DEPTH`` words that occurs ``LEAST_COUNT`` times or more."""
+    first2 = F.substring_index("leaf", " ", 2)
     pairs = counted.groupBy("lang", first2.alias("p2")).agg(F.count(F.lit(1)).alias("s2"))
-    firsts = pairs.groupBy(F.col("lang").alias("lang1"), F.col("p2")[0].alias("w1")).agg(F.sum("s2").alias("s1"))
-    sizes = pairs.join(firsts, (F.col("lang") == F.col("lang1")) & (F.col("p2")[0] == F.col("w1")))
+    firsts = pairs.groupBy(F.col("lang").alias("lang1"), F.substring_index("p2", " ", 1).alias("w1")).agg(
+        F.sum("s2").alias("s1")
+    )
+    sizes = pairs.join(firsts, (F.col("lang") == F.col("lang1")) & (F.substring_index("p2", " ", 1) == F.col("w1")))
     # Units: the first word if its subtree fits the budget, else the first two words, else the whole leaf.
     depth = F.when(F.col("s1") <= leaves_per_group, 1).when(F.col("s2") <= leaves_per_group, 2).otherwise(DEPTH)
     units = sizes.select(F.col("lang").alias("ulang"), F.col("p2"), depth.alias("unit"))
@@ -106,13 +109,12 @@ def node_counts(counted: DataFrame, leaves_per_group: int = LEAVES_PER_GROUP) ->
     placed = counted.join(units, (F.col("lang") == F.col("ulang")) & (first2 == F.col("p2"))).select(
         "lang", "leaf", "c", "unit"
     )
-    placed = placed.withColumn("group", F.pmod(F.xxhash64("lang", F.slice("leaf", 1, "unit")), F.lit(groups)))
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("lang", F.expr("substring_index(leaf, ' ', unit)")), F.lit(groups)))
     ship(counted.sparkSession)
     nodes = placed.groupBy("group").applyInPandas(_subtrees, _NODES)
-    nodes = stage(nodes, "phrase-nodes")
-    whole = nodes.where("whole").select("lang", "words", "f")
-    split = nodes.where("NOT whole").groupBy("lang", "words").agg(F.sum("f").cast("long").alias("f"))
-    return whole.unionByName(split)
+    whole = nodes.where("whole").select("lang", "phrase", "f")
+    split = nodes.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("f").cast("long").alias("f"))
+    return whole.unionByName(split.where(F.col("f") >= LEAST_COUNT))
 
 
 def _score(a: str, left: str, right: str) -> F.Column:
@@ -132,40 +134,38 @@ def collocations(docs: DataFrame, top: int = TOP, leaves_per_group: int = LEAVES
     counted = stage(leaves(docs.select("text", "lang")), "phrase-leaves")
     totals = counted.groupBy("lang").agg(F.sum("c").cast("long").alias("n"))
     nodes = stage(node_counts(counted, leaves_per_group), "phrase-counts")
-    cands = nodes.where((F.size("words") >= 2) & (F.col("f") >= LEAST_COUNT)).select(
-        "lang", "words", F.col("f").alias("a")
-    )
+    size = F.size(F.split("phrase", " "))
+    cands = nodes.where((size >= 2) & (F.col("f") >= LEAST_COUNT)).select("lang", "phrase", F.col("f").alias("a"), size.alias("m"))
 
     def part(name: str) -> DataFrame:
-        return nodes.select(F.col("lang").alias(f"{name}_lang"), F.col("words").alias(f"{name}_w"), F.col("f").alias(name))
+        return nodes.select(F.col("lang").alias(f"{name}_lang"), F.col("phrase").alias(f"{name}_p"), F.col("f").alias(name))
 
     cuts = []
     for k in (1, 2):
-        one = cands.where(F.size("words") > k).select(
-            "lang", "words", "a", F.lit(k).alias("k"),
-            F.slice("words", 1, k).alias("lw"), F.slice("words", k + 1, DEPTH).alias("rw"),
+        one = cands.where(F.col("m") > k).select(
+            "lang", "phrase", "a", F.lit(k).alias("k"),
+            F.substring_index("phrase", " ", k).alias("lw"), F.expr(f"substring_index(phrase, ' ', {k} - m)").alias("rw"),
         )
         lp, rp = part("l"), part("r")
-        one = one.join(lp, (one["lang"] == lp["l_lang"]) & (one["lw"] == lp["l_w"])).join(
-            rp, (one["lang"] == rp["r_lang"]) & (one["rw"] == rp["r_w"])
+        one = one.join(lp, (one["lang"] == lp["l_lang"]) & (one["lw"] == lp["l_p"])).join(
+            rp, (one["lang"] == rp["r_lang"]) & (one["rw"] == rp["r_p"])
         )
-        cuts.append(one.select("lang", "words", "a", "k", "l", "r", _score("a", "l", "r").alias("score")))
-    scored = cuts[0].unionByName(cuts[1])
-    weakest = scored.groupBy("lang", "words", "a").agg(
+        cuts.append(one.select("lang", "phrase", "a", "k", "l", "r", _score("a", "l", "r").alias("score")))
+    weakest = cuts[0].unionByName(cuts[1]).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")
-    ).select("lang", "words", "a", "cut.score", "cut.l", "cut.r")
+    ).select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r")
     # Shorter candidates inside a longer one (contiguously) meet the largest count of those longer ones.
-    longer = cands.where(F.size("words") == DEPTH)
-    inside = longer.select("lang", F.slice("words", 1, 2).alias("words"), "a").unionByName(
-        longer.select("lang", F.slice("words", 2, 2).alias("words"), "a")
-    ).groupBy("lang", "words").agg(F.max("a").alias("outer"))
-    kept = weakest.join(inside, ["lang", "words"], "left").where(
+    longer = cands.where(F.col("m") == DEPTH)
+    inside = longer.select("lang", F.substring_index("phrase", " ", 2).alias("phrase"), "a").unionByName(
+        longer.select("lang", F.substring_index("phrase", " ", -2).alias("phrase"), "a")
+    ).groupBy("lang", "phrase").agg(F.max("a").alias("outer"))
+    kept = weakest.join(inside, ["lang", "phrase"], "left").where(
         F.col("outer").isNull() | (100 * F.col("outer") < KEEP_SHARE * F.col("a"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.array_join("words", " "))
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
-        "lang", "rank", F.array_join("words", " ").alias("phrase"),
+        "lang", "rank", "phrase",
         F.col("a").cast("long").alias("a"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"),
         F.col("n").cast("long").alias("n"), F.col("score").cast("long").alias("score"),
     )
