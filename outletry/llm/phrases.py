@@ -2,15 +2,17 @@
 
 The method follows ERA-style vertical partitioning of a suffix tree:
 
-1. Every word occurrence starts one *leaf*: the suffix of its piece truncated to ``DEPTH`` words. Equal leaves
-   are counted by an aggregate that combines on the map side, so a passage that many documents share is one
-   partial row per task.
-2. Leaves are grouped by word prefix under a memory budget of ``leaves_per_group`` distinct leaves. A first
-   word whose subtree fits is one unit; a first word above the budget is split by its first two words, and a
-   pair above it by the whole leaf. Units are dealt into ``ceil(leaves / leaves_per_group)`` groups by hash,
-   so no group holds much more than the budget and a hot word does not make a hot group.
-3. Each group builds its subtrees independently and reads the count of every node from the totals of the
-   leaves below it. A node above a split unit is partial in each group; those few are summed afterwards.
+1. Prefix frequencies: every word is counted per lang by an aggregate that combines on the map side.
+2. Vertical partitioning under a memory budget of ``per_group`` suffixes: a first word whose suffixes fit
+   is one unit; a first word above the budget (at most ``words / per_group`` of them, so their table has a
+   proven bound) is split into ``ceil(f / per_group)`` units by the hash of its second word. Units are dealt
+   into ``ceil(words / per_group)`` groups by hash, so a hot word does not make a hot group.
+3. Every word occurrence starts one *leaf*: the suffix of its piece truncated to ``DEPTH`` words. Each task
+   counts its leaves (map-side combine, flushed every ``FLUSH`` distinct leaves) and sends them straight to
+   their group: one exchange, nothing staged.
+4. Each group builds its subtrees independently and reads the count of every node from the totals of the
+   leaves below it. Only nodes that occur ``LEAST_COUNT`` times or more are kept, since no candidate or
+   part of one is rarer; a first word split over several units is partial in each and summed afterwards.
 
 Candidates, their cuts and the rule that drops a phrase inside a frequent longer one are joins on the node
 table. Scores are exact: products run in 38-digit decimals, and every score is at most 1,000,000 because a
@@ -20,6 +22,9 @@ part of a phrase occurs at least as often as the phrase.
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,9 +43,15 @@ LEAST_COUNT = 10
 #: A longer candidate drops a shorter one inside it when 100 * f(longer) >= KEEP_SHARE * f(shorter).
 KEEP_SHARE = 50
 TOP = 2000
-#: Memory budget of one group, in distinct leaves (about 100 bytes each in a task).
-LEAVES_PER_GROUP = 1_000_000
-
+#: Memory budget of one group, in suffixes (word occurrences); about 100 bytes each in a task.
+PER_GROUP = 2_000_000
+#: Distinct leaves a task holds before it sends its counts on.
+FLUSH = 500_000
+
+_LOW = str.maketrans(UPPER, UPPER.lower())
+_PIECE = re.compile(PIECE)
+_WORD = re.compile(WORD)
+_LEAVES = "grp long, lang string, leaf string, c long, whole boolean"
 _NODES = T.StructType(
     [
         T.StructField("lang", T.StringType()),
@@ -51,23 +62,50 @@ _NODES = T.StructType(
 )
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """(lang, leaf, c): each truncated suffix of a piece, its words joined by one blank, counted.
-
-    Words hold no blank, so the joined text names the sequence exactly. A null text has no words; a null
-    lang is ``und``.
-    """
+def _words(docs: DataFrame) -> DataFrame:
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower())
-    words = docs.select(
-        F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece")
-    ).select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, DEPTH), " "))
-    return (
-        words.where(F.size("w") > 0)
-        .select("lang", F.explode(starts).alias("leaf"))
-        .groupBy("lang", "leaf")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece"))
+    return pieces.select("lang", F.explode(F.regexp_extract_all("piece", F.lit(WORD), 0)).alias("w"))
+
+
+def _place(lang: str, w: list[str], hot: dict, groups: int) -> tuple[int, bool]:
+    """Group of the suffix starting with these words, and whether its first word is whole in one unit."""
+    parts = hot.get((lang, w[0]))
+    if parts is None:
+        return zlib.crc32(f"{lang}\x00{w[0]}".encode("utf-8", "surrogatepass")) % groups, True
+    second = w[1] if len(w) > 1 else ""
+    sub = zlib.crc32(second.encode("utf-8", "surrogatepass")) % parts
+    return zlib.crc32(f"{lang}\x00{w[0]}\x00{sub}".encode("utf-8", "surrogatepass")) % groups, False
+
+
+def _leaf_counts(hot: dict, groups: int):
+    def emit(counts: Counter) -> pd.DataFrame:
+        keys = list(counts)
+        return pd.DataFrame(
+            {
+                "grp": [k[0] for k in keys], "lang": [k[1] for k in keys], "leaf": [k[2] for k in keys],
+                "c": [counts[k] for k in keys], "whole": [k[3] for k in keys],
+            }
+        )
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            for text, lang in zip(b["text"], b["lang"], strict=True):
+                lang = lang if isinstance(lang, str) else "und"
+                low = text.translate(_LOW) if isinstance(text, str) else ""
+                for piece in _PIECE.split(low):
+                    w = _WORD.findall(piece)
+                    for i in range(len(w)):
+                        grp, whole = _place(lang, w[i : i + 2], hot, groups)
+                        counts[(grp, lang, " ".join(w[i : i + DEPTH]), whole)] += 1
+                if len(counts) >= FLUSH:
+                    yield emit(counts)
+                    counts = Counter()
+        if counts:
+            yield emit(counts)
+
+    return run
 
 
 def _subtrees(group: pd.DataFrame) -> pd.DataFrame:
@@ -75,46 +113,38 @@ def _subtrees(group: pd.DataFrame) -> pd.DataFrame:
 
     Whole nodes below ``LEAST_COUNT`` are left out: no candidate and no part of one can be that rare.
     """
+    leaves = group.groupby(["lang", "leaf", "whole"], sort=False)["c"].sum().reset_index()
+    split = [leaf.split(" ") for leaf in leaves["leaf"]]
+    c, lang, first_whole = leaves["c"].to_numpy(), leaves["lang"].to_numpy(), leaves["whole"].to_numpy()
     out = []
-    split = [leaf.split(" ") for leaf in group["leaf"]]
-    c = group["c"].to_numpy()
-    unit = group["unit"].to_numpy()
-    lang = group["lang"].to_numpy()
     for d in range(1, DEPTH + 1):
         take = [i for i, w in enumerate(split) if len(w) >= d]
         if not take:
             continue
-        part = pd.DataFrame(
-            {"lang": lang[take], "phrase": [" ".join(split[i][:d]) for i in take], "c": c[take], "whole": unit[take] <= d}
-        )
-        summed = part.groupby(["lang", "phrase"], sort=False).agg(f=("c", "sum"), whole=("whole", "first")).reset_index()
+        whole = first_whole[take] if d == 1 else [True] * len(take)
+        part = pd.DataFrame({"lang": lang[take], "phrase": [" ".join(split[i][:d]) for i in take], "c": c[take], "whole": whole})
+        summed = part.groupby(["lang", "phrase", "whole"], sort=False)["c"].sum().reset_index(name="f")
         out.append(summed[~summed["whole"] | (summed["f"] >= LEAST_COUNT)])
     if not out:
-        return pd.DataFrame({"lang": [], "phrase": [], "f": [], "whole": []})
+        return pd.DataFrame({"lang": [], "phrase": [], "f": pd.Series([], dtype="int64"), "whole": pd.Series([], dtype=bool)})
     return pd.concat(out, ignore_index=True)[["lang", "phrase", "f", "whole"]]
 
 
-def node_counts(counted: DataFrame, leaves_per_group: int = LEAVES_PER_GROUP) -> DataFrame:
-    """(lang, phrase, f) for every word sequence of 1 to ``DEPTH`` words that occurs ``LEAST_COUNT`` times or more."""
-    first2 = F.substring_index("leaf", " ", 2)
-    pairs = counted.groupBy("lang", first2.alias("p2")).agg(F.count(F.lit(1)).alias("s2"))
-    firsts = pairs.groupBy(F.col("lang").alias("lang1"), F.substring_index("p2", " ", 1).alias("w1")).agg(
-        F.sum("s2").alias("s1")
-    )
-    sizes = pairs.join(firsts, (F.col("lang") == F.col("lang1")) & (F.substring_index("p2", " ", 1) == F.col("w1")))
-    # Units: the first word if its subtree fits the budget, else the first two words, else the whole leaf.
-    depth = F.when(F.col("s1") <= leaves_per_group, 1).when(F.col("s2") <= leaves_per_group, 2).otherwise(DEPTH)
-    units = sizes.select(F.col("lang").alias("ulang"), F.col("p2"), depth.alias("unit"))
-    groups = max(1, math.ceil(counted.count() / leaves_per_group))
-    placed = counted.join(units, (F.col("lang") == F.col("ulang")) & (first2 == F.col("p2"))).select(
-        "lang", "leaf", "c", "unit"
-    )
-    placed = placed.withColumn("group", F.pmod(F.xxhash64("lang", F.expr("substring_index(leaf, ' ', unit)")), F.lit(groups)))
-    ship(counted.sparkSession)
-    nodes = placed.groupBy("group").applyInPandas(_subtrees, _NODES)
+def node_counts(docs: DataFrame, per_group: int = PER_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, f) of every sequence of 1 to ``DEPTH`` words occurring ``LEAST_COUNT`` times or more,
+    and (lang, n), the word occurrences of each lang."""
+    freq = stage(_words(docs).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("f")), "phrase-words")
+    totals = freq.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
+    words = freq.agg(F.sum("f")).first()[0] or 0
+    groups = max(1, math.ceil(words / per_group))
+    # At most words / per_group first words are above the budget: a table of proven size.
+    hot = {(r["lang"], r["w"]): math.ceil(r["f"] / per_group) for r in freq.where(F.col("f") > per_group).collect()}
+    ship(docs.sparkSession)
+    counted = docs.select("text", "lang").mapInPandas(_leaf_counts(hot, groups), _LEAVES)
+    nodes = counted.groupBy("grp").applyInPandas(_subtrees, _NODES)
     whole = nodes.where("whole").select("lang", "phrase", "f")
     split = nodes.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("f").cast("long").alias("f"))
-    return whole.unionByName(split.where(F.col("f") >= LEAST_COUNT))
+    return whole.unionByName(split.where(F.col("f") >= LEAST_COUNT)), totals
 
 
 def _score(a: str, left: str, right: str) -> F.Column:
@@ -122,7 +152,7 @@ def _score(a: str, left: str, right: str) -> F.Column:
     return F.expr(f"CAST(CAST({a} AS {big}) * {a} * 1000000 div (CAST({left} AS {big}) * {right}) AS BIGINT)")
 
 
-def collocations(docs: DataFrame, top: int = TOP, leaves_per_group: int = LEAVES_PER_GROUP) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, per_group: int = PER_GROUP) -> DataFrame:
     """Each lang's ``top`` phrases of 2 to 3 words by the score of their weakest cut.
 
     Returns lang, rank (from 1), phrase (words joined by one blank), a, l, r, n, score, all numbers long.
@@ -131,9 +161,8 @@ def collocations(docs: DataFrame, top: int = TOP, leaves_per_group: int = LEAVES
     descending, phrase ascending in UTF-8 byte order. Null texts and texts without words add nothing; an
     empty table gives no rows; repeated rows count each time; columns beyond text and lang are not read.
     """
-    counted = stage(leaves(docs.select("text", "lang")), "phrase-leaves")
-    totals = counted.groupBy("lang").agg(F.sum("c").cast("long").alias("n"))
-    nodes = stage(node_counts(counted, leaves_per_group), "phrase-counts")
+    nodes, totals = node_counts(docs.select("text", "lang"), per_group)
+    nodes = stage(nodes, "phrase-counts")
     size = F.size(F.split("phrase", " "))
     cands = nodes.where((size >= 2) & (F.col("f") >= LEAST_COUNT)).select("lang", "phrase", F.col("f").alias("a"), size.alias("m"))
 

@@ -52,7 +52,7 @@ def test_collocations_equal_brute_force(make_docs, budget):
     texts = TEXTS * 6 + ["the cat sat"] * 5  # repeated rows count each time
     langs = [None if i % 7 == 0 else "en" for i in range(len(texts))]
     docs = make_docs(texts, langs=langs).withColumn("words", phrases.F.lit("clash")).withColumn("leaf", phrases.F.lit(1))
-    got = phrases.collocations(docs, top=5, leaves_per_group=budget).collect()
+    got = phrases.collocations(docs, top=5, per_group=budget).collect()
     want = brute(list(zip(texts, langs, strict=True)), top=5)
     assert sorted(tuple(r) for r in got) == want
     assert want  # the fixture has candidates
