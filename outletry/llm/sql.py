@@ -201,3 +201,32 @@ SELECT k.lang, CAST(rank AS BIGINT) AS rank, array_to_string(words, ' ') AS phra
 FROM ranked k JOIN totals t ON t.lang = k.lang
 WHERE rank <= 2000
 """
+
+
+HARD_NEGATIVES = """
+WITH
+v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, e) = 1
+),
+anchors AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, x.vec_id, x.label,
+    CAST(list_inner_product(a.e, x.e) AS BIGINT) AS s
+  FROM anchors a JOIN v x ON x.vec_id <> a.vec_id
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.s DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+  AND 50 * p.positive_score <= 100 * n.s AND 100 * n.s <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
