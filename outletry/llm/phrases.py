@@ -7,12 +7,13 @@ The method follows ERA-style vertical partitioning of a suffix tree:
    is one unit; a first word above the budget (at most ``words / per_group`` of them, so their table has a
    proven bound) is split into ``ceil(f / per_group)`` units by the hash of its second word. Units are dealt
    into ``ceil(words / per_group)`` groups by hash, so a hot word does not make a hot group.
-3. Every word occurrence starts one *leaf*: the suffix of its piece truncated to ``DEPTH`` words. Each task
-   counts its leaves (map-side combine, flushed every ``FLUSH`` distinct leaves) and sends them straight to
-   their group: one exchange, nothing staged.
-4. Each group builds its subtrees independently and reads the count of every node from the totals of the
-   leaves below it. Only nodes that occur ``LEAST_COUNT`` times or more are kept, since no candidate or
-   part of one is rarer; a first word split over several units is partial in each and summed afterwards.
+3. Every word occurrence starts one *leaf*: the suffix of its piece truncated to ``DEPTH`` words, sent
+   straight to its group: one exchange, nothing staged. Hot first words are found in the small table of
+   step 2, broadcast.
+4. Each group builds its subtrees independently, as an aggregate that keeps the group's partitioning (so it
+   spills rather than fails), and reads the count of every node from the totals of the leaves below it.
+   Only nodes that occur ``LEAST_COUNT`` times or more are kept, since no candidate or part of one is
+   rarer; a first word split over several units is partial in each and summed afterwards.
 
 Candidates, their cuts and the rule that drops a phrase inside a frequent longer one are joins on the node
 table. Scores are exact: products run in 38-digit decimals, and every score is at most 1,000,000 because a
@@ -22,16 +23,9 @@ part of a phrase occurs at least as often as the phrase.
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from outletry.llm.shipping import ship
 from outletry.session import stage
 
 #: Fixed values of the contract: pieces end at these characters, words are runs of anything but blank and tab.
@@ -45,21 +39,6 @@ KEEP_SHARE = 50
 TOP = 2000
 #: Memory budget of one group, in suffixes (word occurrences); about 100 bytes each in a task.
 PER_GROUP = 2_000_000
-#: Distinct leaves a task holds before it sends its counts on.
-FLUSH = 500_000
-
-_LOW = str.maketrans(UPPER, UPPER.lower())
-_PIECE = re.compile(PIECE)
-_WORD = re.compile(WORD)
-_LEAVES = "grp long, lang string, leaf string, c long, whole boolean"
-_NODES = T.StructType(
-    [
-        T.StructField("lang", T.StringType()),
-        T.StructField("phrase", T.StringType()),
-        T.StructField("f", T.LongType()),
-        T.StructField("whole", T.BooleanType()),
-    ]
-)
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -68,66 +47,13 @@ def _words(docs: DataFrame) -> DataFrame:
     return pieces.select("lang", F.explode(F.regexp_extract_all("piece", F.lit(WORD), 0)).alias("w"))
 
 
-def _place(lang: str, w: list[str], hot: dict, groups: int) -> tuple[int, bool]:
-    """Group of the suffix starting with these words, and whether its first word is whole in one unit."""
-    parts = hot.get((lang, w[0]))
-    if parts is None:
-        return zlib.crc32(f"{lang}\x00{w[0]}".encode("utf-8", "surrogatepass")) % groups, True
-    second = w[1] if len(w) > 1 else ""
-    sub = zlib.crc32(second.encode("utf-8", "surrogatepass")) % parts
-    return zlib.crc32(f"{lang}\x00{w[0]}\x00{sub}".encode("utf-8", "surrogatepass")) % groups, False
-
-
-def _leaf_counts(hot: dict, groups: int):
-    def emit(counts: Counter) -> pd.DataFrame:
-        keys = list(counts)
-        return pd.DataFrame(
-            {
-                "grp": [k[0] for k in keys], "lang": [k[1] for k in keys], "leaf": [k[2] for k in keys],
-                "c": [counts[k] for k in keys], "whole": [k[3] for k in keys],
-            }
-        )
-
-    def run(batches):
-        counts: Counter = Counter()
-        for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
-                lang = lang if isinstance(lang, str) else "und"
-                low = text.translate(_LOW) if isinstance(text, str) else ""
-                for piece in _PIECE.split(low):
-                    w = _WORD.findall(piece)
-                    for i in range(len(w)):
-                        grp, whole = _place(lang, w[i : i + 2], hot, groups)
-                        counts[(grp, lang, " ".join(w[i : i + DEPTH]), whole)] += 1
-                if len(counts) >= FLUSH:
-                    yield emit(counts)
-                    counts = Counter()
-        if counts:
-            yield emit(counts)
-
-    return run
-
-
-def _subtrees(group: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of the subtrees of one group, each counted from the totals of its leaves.
-
-    Whole nodes below ``LEAST_COUNT`` are left out: no candidate and no part of one can be that rare.
-    """
-    leaves = group.groupby(["lang", "leaf", "whole"], sort=False)["c"].sum().reset_index()
-    split = [leaf.split(" ") for leaf in leaves["leaf"]]
-    c, lang, first_whole = leaves["c"].to_numpy(), leaves["lang"].to_numpy(), leaves["whole"].to_numpy()
-    out = []
-    for d in range(1, DEPTH + 1):
-        take = [i for i, w in enumerate(split) if len(w) >= d]
-        if not take:
-            continue
-        whole = first_whole[take] if d == 1 else [True] * len(take)
-        part = pd.DataFrame({"lang": lang[take], "phrase": [" ".join(split[i][:d]) for i in take], "c": c[take], "whole": whole})
-        summed = part.groupby(["lang", "phrase", "whole"], sort=False)["c"].sum().reset_index(name="f")
-        out.append(summed[~summed["whole"] | (summed["f"] >= LEAST_COUNT)])
-    if not out:
-        return pd.DataFrame({"lang": [], "phrase": [], "f": pd.Series([], dtype="int64"), "whole": pd.Series([], dtype=bool)})
-    return pd.concat(out, ignore_index=True)[["lang", "phrase", "f", "whole"]]
+def _leaves(docs: DataFrame) -> DataFrame:
+    """(lang, leaf): one row per word occurrence, its suffix in the piece truncated to ``DEPTH`` words."""
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower())
+    pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece"))
+    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w")).where(F.size("w") > 0)
+    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, DEPTH), " "))
+    return words.select("lang", F.explode(starts).alias("leaf"))
 
 
 def node_counts(docs: DataFrame, per_group: int = PER_GROUP) -> tuple[DataFrame, DataFrame]:
@@ -138,12 +64,31 @@ def node_counts(docs: DataFrame, per_group: int = PER_GROUP) -> tuple[DataFrame,
     words = freq.agg(F.sum("f")).first()[0] or 0
     groups = max(1, math.ceil(words / per_group))
     # At most words / per_group first words are above the budget: a table of proven size.
-    hot = {(r["lang"], r["w"]): math.ceil(r["f"] / per_group) for r in freq.where(F.col("f") > per_group).collect()}
-    ship(docs.sparkSession)
-    counted = docs.select("text", "lang").mapInPandas(_leaf_counts(hot, groups), _LEAVES)
-    nodes = counted.groupBy("grp").applyInPandas(_subtrees, _NODES)
-    whole = nodes.where("whole").select("lang", "phrase", "f")
-    split = nodes.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("f").cast("long").alias("f"))
+    hot = freq.where(F.col("f") > per_group).select(
+        F.col("lang").alias("hot_lang"), F.col("w").alias("hot_w"), F.ceil(F.col("f") / per_group).alias("parts")
+    )
+    leaves = _leaves(docs)
+    w1, rest = F.substring_index("leaf", " ", 1), F.substring_index(F.substring_index("leaf", " ", 2), " ", -1)
+    placed = leaves.join(F.broadcast(hot), (F.col("lang") == F.col("hot_lang")) & (w1 == F.col("hot_w")), "left")
+    sub = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.when(F.instr("leaf", " ") > 0, rest)), F.col("parts")))
+    routed = placed.select(
+        F.pmod(F.xxhash64("lang", w1, F.coalesce(sub, F.lit(-1))), F.lit(groups)).alias("grp"),
+        "lang", "leaf", F.col("parts").isNull().alias("whole1"),
+    ).repartition(groups, "grp")
+    # Within a group, each node of its subtrees is the total of the leaves below it; the aggregate keeps the
+    # group's partitioning, so the subtrees are built where the group's suffixes are, without another exchange.
+    depth = F.size(F.split("leaf", " "))
+    nodes = routed.select(
+        "grp", "lang", "whole1",
+        F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.substring_index("leaf", " ", d).alias("phrase")) for d in range(1, DEPTH + 1)])).alias("node"),
+        depth.alias("depth"),
+    ).where(F.col("node.d") <= F.col("depth")).select(
+        "grp", "lang", F.col("node.phrase").alias("phrase"), (F.col("whole1") | (F.col("node.d") > 1)).alias("whole")
+    )
+    counted = nodes.groupBy("grp", "lang", "phrase", "whole").agg(F.count(F.lit(1)).alias("f"))
+    kept = counted.where(~F.col("whole") | (F.col("f") >= LEAST_COUNT))
+    whole = kept.where("whole").select("lang", "phrase", "f")
+    split = kept.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("f").cast("long").alias("f"))
     return whole.unionByName(split.where(F.col("f") >= LEAST_COUNT)), totals
 
 
