@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletry.llm import chat, forest, language, leaks, licences, lines, negatives, packing, paragraphs, phrases, sql, tokens, urls
+from outletry.llm import chat, forest, language, leaks, licences, lines, negatives, packing, paragraphs, phrases, quality, sql, tokens, urls
 from outletry.session import shared_folder, stage
 
 #: Its words are cut at white space before anything else, so ids go word by word.
@@ -78,6 +78,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +101,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chats": op8_chats,
     "op9_leaks": op9_leaks,
     "op10_licences": op10_licences,
+    "op11_quality": op11_quality,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
