@@ -822,6 +822,13 @@ def cv_metrics(lk: Lake) -> DataFrame:
     return imputer.CategoryImputer(config=DEFAULTS).cross_validate(lk.imputer_features)
 
 
+@query
+def class_report(lk: Lake) -> DataFrame:
+    """Per-class, macro and weighted scores of the imputer's held-out predictions over all folds."""
+    held = imputer.CategoryImputer(config=DEFAULTS).held_out_predictions(lk.imputer_features)
+    return imputer.class_report(held, imputer.TARGET, "predicted")
+
+
 def fitted_imputer(lk: Lake) -> imputer.CategoryImputer:
     if not hasattr(lk, "_imputer"):
         lk._imputer = imputer.CategoryImputer(config=DEFAULTS).fit(lk.imputer_features)

@@ -472,3 +472,32 @@ def test_group_spread_equals_the_library(spark):
     want = ClusteringEvaluator(featuresCol="f", predictionCol="g").evaluate(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df))
     total = got.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("s"), F.sum("inertia").alias("i")).first()
     assert total["s"] == pytest.approx(want, abs=1e-9) and total["i"] > 0
+
+
+def test_class_report_equals_sql_on_given_predictions(spark):
+    import duckdb
+
+    from outletry.operators.imputer import class_report
+
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("c", "a"), ("a", None), (None, "c"), ("a", "a")]
+    got = {r["label"]: r for r in class_report(spark.createDataFrame(rows, "y string, p string"), "y", "p").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT * FROM (VALUES " + ", ".join(
+        f"({'NULL' if y is None else repr(y)}, {'NULL' if p is None else repr(p)})" for y, p in rows) + ") v(y, p)")
+    want = con.execute("""
+      WITH r AS (SELECT * FROM t WHERE y IS NOT NULL AND p IS NOT NULL),
+      c AS (SELECT label, sum(tp) AS tp, sum(a) AS support, sum(g) AS guessed FROM (
+        SELECT y AS label, CAST(y = p AS INT) AS tp, 1 AS a, 0 AS g FROM r UNION ALL SELECT p, 0, 0, 1 FROM r) GROUP BY label),
+      s AS (SELECT label, coalesce(tp / nullif(guessed, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re,
+        coalesce(2 * tp / nullif(support + guessed, 0), 0) AS f1, support, tp FROM c)
+      SELECT label, pr, re, f1, support FROM s
+      UNION ALL SELECT 'macro avg', avg(pr), avg(re), avg(f1), sum(support) FROM s
+      UNION ALL SELECT 'weighted avg', sum(pr * support) / sum(support), sum(re * support) / sum(support),
+        sum(f1 * support) / sum(support), sum(support) FROM s
+      UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM s
+    """).fetchall()
+    assert len(got) == len(want) == 6
+    for label, pr, re_, f1, support in want:
+        row = got[label]
+        assert (row["precision"], row["recall"], row["f1_score"], row["support"]) == pytest.approx((pr, re_, f1, support))
+    assert class_report(spark.createDataFrame([], "y string, p string"), "y", "p").count() == 0

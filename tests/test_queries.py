@@ -43,7 +43,7 @@ def test_plan_stays_in_the_engine(spark, sf_dir, name):
 
 def test_only_models_have_no_sql():
     assert MODELS == [
-        "cluster_outlets", "clustered_potential", "cv_metrics", "feature_importance", "impute_category",
+        "class_report", "cluster_outlets", "clustered_potential", "cv_metrics", "feature_importance", "impute_category",
         "impute_summary", "k_selection", "low_confidence_imputations",
     ]
 
