@@ -7,13 +7,14 @@ The method follows ERA-style vertical partitioning of a suffix tree:
    is one unit; a first word above the budget (at most ``words / per_group`` of them, so their table has a
    proven bound) is split into ``ceil(f / per_group)`` units by the hash of its second word. Units are dealt
    into ``ceil(words / per_group)`` groups by hash, so a hot word does not make a hot group.
-3. Every word occurrence starts one *leaf*: the suffix of its piece truncated to ``DEPTH`` words, sent
-   straight to its group: one exchange, nothing staged. Hot first words are found in the small table of
-   step 2, broadcast.
-4. Each group builds its subtrees independently, as an aggregate that keeps the group's partitioning (so it
-   spills rather than fails), and reads the count of every node from the totals of the leaves below it.
-   Only nodes that occur ``LEAST_COUNT`` times or more are kept, since no candidate or part of one is
-   rarer; a first word split over several units is partial in each and summed afterwards.
+3. Every word occurrence followed by another in its piece starts one *leaf*: the suffix truncated to
+   ``DEPTH`` words, sent straight to its group: one exchange. Hot first words are found in the small table
+   of step 2, broadcast.
+4. Each group builds its subtrees below the first word independently, as an aggregate that keeps the
+   group's partitioning (so it spills rather than fails), and reads the count of every node from the totals
+   of the leaves below it; every node of two or more words lies wholly in one group. Nodes of one word are
+   the prefix frequencies of step 1. Only nodes that occur ``LEAST_COUNT`` times or more are kept, since no
+   candidate or part of one is rarer.
 
 Candidates, their cuts and the rule that drops a phrase inside a frequent longer one are joins on the node
 table. Scores are exact: products run in 38-digit decimals, and every score is at most 1,000,000 because a
@@ -71,25 +72,20 @@ def node_counts(docs: DataFrame, per_group: int = PER_GROUP) -> tuple[DataFrame,
     w1, rest = F.substring_index("leaf", " ", 1), F.substring_index(F.substring_index("leaf", " ", 2), " ", -1)
     placed = leaves.join(F.broadcast(hot), (F.col("lang") == F.col("hot_lang")) & (w1 == F.col("hot_w")), "left")
     sub = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.when(F.instr("leaf", " ") > 0, rest)), F.col("parts")))
-    routed = placed.select(
-        F.pmod(F.xxhash64("lang", w1, F.coalesce(sub, F.lit(-1))), F.lit(groups)).alias("grp"),
-        "lang", "leaf", F.col("parts").isNull().alias("whole1"),
+    routed = placed.where(F.instr("leaf", " ") > 0).select(
+        F.pmod(F.xxhash64("lang", w1, F.coalesce(sub, F.lit(-1))), F.lit(groups)).alias("grp"), "lang", "leaf"
     ).repartition(groups, "grp")
-    # Within a group, each node of its subtrees is the total of the leaves below it; the aggregate keeps the
-    # group's partitioning, so the subtrees are built where the group's suffixes are, without another exchange.
-    depth = F.size(F.split("leaf", " "))
+    # Within a group, each node of 2 or more words is the total of the leaves below it, and all of them are
+    # in this group. The aggregate keeps the group's partitioning, so the subtrees are built where the
+    # group's suffixes are, without another exchange. Nodes of one word are the prefix frequencies.
+    prefixes = F.array(*[F.substring_index("leaf", " ", d) for d in range(2, DEPTH + 1)])
     nodes = routed.select(
-        "grp", "lang", "whole1",
-        F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.substring_index("leaf", " ", d).alias("phrase")) for d in range(1, DEPTH + 1)])).alias("node"),
-        depth.alias("depth"),
-    ).where(F.col("node.d") <= F.col("depth")).select(
-        "grp", "lang", F.col("node.phrase").alias("phrase"), (F.col("whole1") | (F.col("node.d") > 1)).alias("whole")
+        "grp", "lang",
+        F.explode(F.when(F.size(F.split("leaf", " ")) >= DEPTH, prefixes).otherwise(F.array("leaf"))).alias("phrase"),
     )
-    counted = nodes.groupBy("grp", "lang", "phrase", "whole").agg(F.count(F.lit(1)).alias("f"))
-    kept = counted.where(~F.col("whole") | (F.col("f") >= LEAST_COUNT))
-    whole = kept.where("whole").select("lang", "phrase", "f")
-    split = kept.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("f").cast("long").alias("f"))
-    return whole.unionByName(split.where(F.col("f") >= LEAST_COUNT)), totals
+    counted = nodes.groupBy("grp", "lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= LEAST_COUNT)
+    singles = freq.where(F.col("f") >= LEAST_COUNT).select("lang", F.col("w").alias("phrase"), "f")
+    return counted.select("lang", "phrase", "f").unionByName(singles), totals
 
 
 def _score(a: str, left: str, right: str) -> F.Column:
