@@ -39,7 +39,7 @@ LEAST_COUNT = 10
 KEEP_SHARE = 50
 TOP = 2000
 #: Memory budget of one group, in suffixes (word occurrences); about 100 bytes each in a task.
-PER_GROUP = 2_000_000
+PER_GROUP = 500_000
 
 
 def _words(docs: DataFrame) -> DataFrame:
