@@ -81,7 +81,8 @@ def node_counts(docs: DataFrame, per_group: int = PER_GROUP) -> tuple[DataFrame,
     prefixes = F.array(*[F.substring_index("leaf", " ", d) for d in range(2, DEPTH + 1)])
     nodes = routed.select(
         "grp", "lang",
-        F.explode(F.when(F.size(F.split("leaf", " ")) >= DEPTH, prefixes).otherwise(F.array("leaf"))).alias("phrase"),
+        # A leaf of three words differs from its first two; no regex is needed to tell.
+        F.explode(F.when(F.substring_index("leaf", " ", 2) != F.col("leaf"), prefixes).otherwise(F.array("leaf"))).alias("phrase"),
     )
     counted = nodes.groupBy("grp", "lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= LEAST_COUNT)
     singles = freq.where(F.col("f") >= LEAST_COUNT).select("lang", F.col("w").alias("phrase"), "f")
