@@ -58,3 +58,26 @@ def test_hard_negatives_equal_brute_force(spark, seed, monkeypatch):
 
 def test_hard_negatives_of_an_empty_table(spark):
     assert negatives.hard_negatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_windows_of_scores_near_64_bits(spark):
+    """Scores fit 64 bits here, 50 and 95 times them do not."""
+    rows = [(i, [float(round(x * 4e6)) for x in v], lab, "x", 1.0) for i, v, lab, *_ in vectors(160, 8, 3)]
+    got = sorted(tuple(r) for r in negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = brute(rows)
+    assert max(r[4] for r in want) > 2**63 // 95
+    assert got == want
+
+
+def test_windows_when_one_row_is_longer(spark):
+    """All rows must be measured against the same directions, also if a batch holds a longer vector."""
+    rows = [(i, v, lab, "x", 1.0) for i, v, lab, *_ in vectors(300, 3, 4)]
+    rows += [(400 + i, [0.0, 0.1, 0.1, 0.01], i % 3, "x", 1.0) for i in range(2)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16")
+    try:
+        got = sorted(tuple(r) for r in negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == brute(rows)
