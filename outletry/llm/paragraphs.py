@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ MISS = 2e-5
 MOST_BANDS = 16
 #: Of 64 sketch bits, (1 - J) / 2 differ: at J = 0.8 more than 19 are over five standard deviations off.
 MOST_BITS = 19
+#: Paragraphs of a bucket that all meet in one row, and those of a larger bucket's chunk.
+SMALL_BUCKET = 64
+BUCKET_CHUNK = 1024
 _NODE_STEP = 10_000_000_000
 
 
@@ -144,21 +148,52 @@ def _texts(batches: Iterable[pa.RecordBatch], least_words: int) -> Iterator[pa.R
             )
 
 
+def _linked(pair: pd.DataFrame) -> pd.DataFrame:
+    """Edges that join whatever hangs together by sketches that agree, among the rows of two chunks of a bucket:
+    a tree per group instead of all its pairs."""
+    node = pair["node"].to_numpy()
+    bits = pair["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    left = np.arange(len(node))
+    a, b = [], []
+    while len(left):
+        reached, left = left[:1], left[1:]
+        while len(reached) and len(left):
+            at, reached = reached[0], reached[1:]
+            near = np.bitwise_count(bits[left] ^ bits[at]) <= MOST_BITS
+            a += [node[at]] * int(near.sum())
+            b += list(node[left[near]])
+            reached, left = np.concatenate([reached, left[near]]), left[~near]
+    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) of paragraphs that collide in a band and whose sketches agree.
+    """(a, b) of paragraphs that collide in a band and whose sketches agree, or a chain of such pairs.
 
-    A bucket ties every paragraph to its next two and to its first one, never all with all; what hangs
-    together this way is compared exactly later.
+    In a bucket of up to ``SMALL_BUCKET`` paragraphs every one meets every other. A larger bucket is dealt into
+    chunks, and every two of them meet in one task, which joins what hangs together without listing all pairs.
     """
     rows = classes.select("node", "bits", F.explode("bands").alias("band"))
-    order = Window.partitionBy("band").orderBy("bits", "node")
-    first = F.first(F.struct("node", "bits")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    near = F.array(*[F.lead(F.struct("node", "bits"), k).over(order) for k in (1, 2)], first)
-    close = f"x is not null and x.node <> node and bit_count(bits ^ x.bits) <= {MOST_BITS}"
-    rows = rows.select("node", "bits", near.alias("near"))
-    return rows.select(F.col("node").alias("a"), F.explode(F.expr(f"filter(near, x -> {close})")).alias("x")).select(
+    sizes = stage(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SMALL_BUCKET}"), "large_buckets")
+    order = Window.partitionBy("band").orderBy("node").rowsBetween(1, SMALL_BUCKET - 1)
+    near = F.collect_list(F.struct("node", "bits")).over(order)
+    close = f"x.node <> node and bit_count(bits ^ x.bits) <= {MOST_BITS}"
+    small = rows.join(sizes, "band", "left_anti").select("node", "bits", near.alias("near"))
+    small = small.select(F.col("node").alias("a"), F.explode(F.expr(f"filter(near, x -> {close})")).alias("x")).select(
         "a", F.col("x.node").alias("b")
     )
+    if sizes.isEmpty():
+        return small
+    ship(classes.sparkSession)
+    dealt = rows.join(sizes, "band").withColumn("chunks", F.expr(f"cast(ceil(n / {BUCKET_CHUNK}) as int)"))
+    dealt = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)")).select(
+        "node", "bits", "band", "chunk", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")
+    )
+    pairs = dealt.select(
+        "node", "bits", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    )
+    kind = classes.schema["node"].dataType.simpleString()
+    large = pairs.groupBy("band", "low", "high").applyInPandas(lambda p: _linked(p), f"a {kind}, b {kind}")
+    return small.unionAll(large.where("a <> b"))
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:

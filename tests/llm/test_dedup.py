@@ -7,7 +7,7 @@ import pytest
 from test_hashing import plain_shingles
 
 import corpus_pipeline
-from outletry.llm import forest, similar
+from outletry.llm import forest, paragraphs, similar
 from outletry.llm.components import components
 from outletry.llm.forest import near_duplicates
 from outletry.llm.paragraphs import repeated_paragraphs, tuned_bands, without_repeats
@@ -187,3 +187,27 @@ def test_forest_follows_the_percent(spark, make_docs):
         assert got == want[percent]
     kept = {r["doc_id"] for r in corpus_pipeline.unique_documents(spark, make_docs(texts), "").collect()}
     assert kept == {i for i in want[80] if want[80][i] == i}
+
+
+@pytest.mark.parametrize("size", [50, 300])
+def test_partners_far_apart_in_a_bucket_stay_candidates(spark, size, monkeypatch):
+    """One bucket, small or large, of unlike sketches with partners between which many others sort."""
+    monkeypatch.setattr(paragraphs, "BUCKET_CHUNK", 64, raising=False)
+    rng = random.Random(8)
+    bits = [rng.getrandbits(63) for _ in range(size)]
+    bits += [b ^ (1 << 62) ^ 5 for b in bits[10:20]]
+    rows = [(i, b, [1]) for i, b in enumerate(bits)]
+    got = paragraphs.candidates(spark.createDataFrame(rows, "node long, bits long, bands array<long>")).collect()
+    root = list(range(len(bits)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        assert (bits[r["a"]] ^ bits[r["b"]]).bit_count() <= paragraphs.MOST_BITS
+        root[top(r["a"])] = top(r["b"])
+    close = [(i, j) for j in range(len(bits)) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= paragraphs.MOST_BITS]
+    assert len(close) >= 10
+    assert all(top(i) == top(j) for i, j in close)
