@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletry.config import DEFAULTS, TRANSACTION_COLUMNS, PipelineConfig
-from outletry.functions.numeric import bad_number, half_even, ratio, to_number
+from outletry.functions.numeric import half_even, ratio, to_number
 from outletry.functions.text import flag
 from outletry.operators.outlets import clean_strings
 from outletry.operators.quantiles import group_quantiles
@@ -27,10 +27,9 @@ _NUMBERS = ("Year", "Month", "Volume_Liters", "Total_Bill_Value")
 def check_transactions(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> DataFrame:
     """Typed transactions with the reasons against each row."""
     df = clean_strings(require_columns(raw, TRANSACTION_COLUMNS))
-    bad = {f"_bad_{c}": bad_number(F.col(c).cast("string")) for c in _NUMBERS}
     lost = {f"_lost_{c}": F.col(c).isNull() for c in _NUMBERS}
     typed = {c: to_number(F.col(c).cast("string")) for c in _NUMBERS}
-    df = df.withColumns({**bad, **lost}).withColumns(typed)
+    df = df.withColumns(lost).withColumns(typed)
     df = mark_repeats(df, [c for c in raw.columns if not c.startswith("_")])
     years = config.transaction_years
     rules = (
@@ -41,14 +40,14 @@ def check_transactions(raw: DataFrame, config: PipelineConfig = DEFAULTS) -> Dat
             )
             for c in TRANSACTION_COLUMNS
         ]
-        + [Rule(f"Invalid numeric value in {c}", F.col(f"_bad_{c}")) for c in _NUMBERS]
+        + [Rule(f"Invalid numeric value in {c}", ~F.col(f"_lost_{c}") & F.col(c).isNull()) for c in _NUMBERS]
         + [
             Rule(f"Year outside expected range {min(years)}-{max(years)}", ~F.col("Year").isin(*years)),
             Rule("Month outside range 1-12", ~F.col("Month").between(1, 12)),
             Rule("Exact duplicate row", F.col(REPEAT)),
         ]
     )
-    df = with_reasons(df, rules).drop(*bad, *lost, REPEAT)
+    df = with_reasons(df, rules).drop(*lost, REPEAT)
     return df.withColumns({c: F.col(c).cast("int") for c in ("Year", "Month")})
 
 
