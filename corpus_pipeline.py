@@ -8,7 +8,7 @@ from outletry.llm.forest import near_duplicates
 from outletry.llm.language import in_known_language
 from outletry.llm.leaks import without_leaks
 from outletry.llm.packing import pack, token_lengths
-from outletry.llm.paragraphs import without_repeats
+from outletry.llm.passages import without_passages
 from outletry.llm.queries import table, tokenizer_path
 from outletry.session import stage
 
@@ -25,8 +25,8 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the paragraphs that an earlier place has already."""
-    return without_repeats(docs)
+    """Texts without the paragraphs and passages that an earlier place has already."""
+    return without_passages(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
