@@ -5,7 +5,7 @@ import re
 
 from outletry.llm import leaks
 from outletry.llm.leaks import contaminated, windows_of, without_leaks
-from outletry.llm.licences import licences
+from outletry.llm.licences import NONE, fit, licences
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 UP = {c: c + 32 for c in range(65, 91)}
@@ -102,3 +102,10 @@ def test_licences_are_found_and_others_left(make_docs):
         (0, 1): "mit", (1, 1): "apache", (2, 0): "gpl", (3, 1): "proprietary", (4, 0): "cc-by-nc", (10, 0): "mit", (11, 0): "mit"}
     assert all(0 <= r["probability"] <= 1 and 0 <= r["similarity"] <= 1 for r in rows)
     assert licences(make_docs(["x"]).limit(0)).count() == 0
+
+
+def test_every_document_teaches_what_is_no_licence(make_docs):
+    own = [f"zq{i}x" for i in range(260)]
+    model = fit(make_docs(["\n".join(f"{w} {tail}" for tail in ("runs far", "sat here", "came late", "looks up", "went home", "fell")) for w in own]))
+    weights = model.families.coefficientMatrix.toArray()[model.labels.labels.index(NONE)]
+    assert all(weights[model.hashing.indexOf(w)] > 0 for w in own)
