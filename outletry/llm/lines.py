@@ -34,14 +34,18 @@ def _words(text: Column) -> Column:
 
 
 def line_rules(line: Column) -> dict[str, Column]:
-    """The rules of one line; a line that meets any of them is removed, and empty lines pass."""
+    """The rules of one line; a line that meets any of them is removed, and empty lines pass.
+
+    The cheapest rule comes first, as the others are not tried on a line that meets it, and words are counted only
+    in lines with a phrase.
+    """
     low = F.lower(line)
     n_words = F.regexp_count(line, F.lit(WORD))
     phrase = low.rlike("|".join(BOILERPLATE))
     return {
+        "punctuation": line.rlike(WORD) & ~line.rlike(rf"{SENTENCE_END}{CLOSING}*\s*$"),
         "navigation": F.regexp_count(line, F.lit(NAVIGATION_MARKS)) >= LEAST_MARKS,
         "boilerplate": phrase & (n_words < BOILERPLATE_WORDS),
-        "punctuation": (n_words > 0) & ~line.rlike(rf"{SENTENCE_END}{CLOSING}*\s*$"),
     }
 
 
