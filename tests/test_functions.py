@@ -70,3 +70,19 @@ def test_geometry(spark):
     assert [r[0] for r in points.select(inside).collect()] == [True, False, False]
     km = spark.range(1).select(geo.haversine_km(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])).first()[0]
     assert km == pytest.approx(111.195, abs=0.01)
+
+
+def test_squash_and_null_words_on_odd_blanks(spark):
+    raw = ["a\tb", " a  b ", "\x0bna", "N/A\u2028", "\u0085", "nan1", "\u212a", "  ", "NULL \n"]
+    assert column(spark, raw, "string", text.squash) == [
+        "a b", "a b", "na", "N/A\u2028", "\u0085", "nan1", "\u212a", "", "NULL"
+    ]
+    assert column(spark, raw, "string", text.null_if_token) == ["a b", "a b", None, None, None, "nan1", "\u212a", None, None]
+
+
+def test_day_shapes_refuse_no_text_of_their_layout(spark):
+    raw = ["1/6/2023", "001/06/2023", "+1/6/2023", "2023-1-6", "2023/01/06", "1-6-2023", "6-jan-2023",
+           "6 Jan 2023", "Jan 6, 2023", "2023-01-06T18:30:00Z", "13/1/2023", "6-January-2023", "1/6/23", ""]
+    tried = lambda c: F.coalesce(*[F.try_to_date(c, layout) for layout in dates.DAY_LAYOUTS])
+    untimed = [x for x in raw if "T" not in x]
+    assert column(spark, untimed, "string", dates.parse_month_first) == column(spark, untimed, "string", tried)

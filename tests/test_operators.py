@@ -7,9 +7,10 @@ from outletry.config import DEFAULTS
 from outletry.operators import (
     clustering, density, gold, holidays, imputer, monthly, outlets, potential, reports, rules, seasonality, spatial, transactions,
 )
-from outletry.operators.quantiles import group_quantiles, magnitude_bucket
+from outletry.operators.quantiles import group_quantiles, magnitude_bucket, open_group_quantiles
 from outletry.operators.repeats import REPEAT, mark_repeats
 from outletry.plans import silver
+from outletry.session import stage
 from outletry.sources import readers, writers
 
 
@@ -501,3 +502,44 @@ def test_class_report_equals_sql_on_given_predictions(spark):
         row = got[label]
         assert (row["precision"], row["recall"], row["f1_score"], row["support"]) == pytest.approx((pr, re_, f1, support))
     assert class_report(spark.createDataFrame([], "y string, p string"), "y", "p").count() == 0
+
+
+def test_open_groups_are_sorted_once_and_large_ones_elsewhere(spark):
+    rng = random.Random(8)
+    rows = [("hot", rng.choice([5.0, rng.uniform(-9, 9)])) for _ in range(900)]
+    rows += [(f"k{i % 40}", rng.uniform(0, 1) * 10 ** rng.randint(-6, 12)) for i in range(800)]
+    rows += [("one", 4.0), ("nothing", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"a": 0.25, "b": 0.9}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    for limit in (0, 1, 100, 10_000):
+        got = {r["k"]: r for r in open_group_quantiles(df, ["k"], "v", wanted, "n", limit).collect()}
+        assert set(got) == set(groups)
+        for k, values in groups.items():
+            assert got[k]["n"] == len(values)
+            for name, q in wanted.items():
+                assert got[k][name] == pytest.approx(quantile(values, q), rel=1e-12)
+
+
+def test_price_bounds_need_one_exchange(spark):
+    sales = spark.createDataFrame([("S1", 2.0), ("S1", 4.0), ("S2", 3.0)], "SKU_ID string, Price_Per_Liter double")
+    plan = transactions.price_bounds(sales)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_each_text_is_squashed_once(spark):
+    df = spark.createDataFrame([("a  b", "n/a")], "x string, y string")
+    plan = outlets.clean_strings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
+    assert outlets.clean_strings(df).first() == ("a b", None)
+
+
+def test_partitioned_stage_keeps_rows_and_setting(spark):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    df = spark.range(40).selectExpr("id", "cast(if(id % 4 = 3, null, id % 4) as string) AS kind")
+    back = stage(df, "parts", ["kind"])
+    assert sorted(back.collect(), key=lambda r: r["id"]) == df.collect() and spark.conf.get(name) == before
