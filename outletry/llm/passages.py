@@ -2,7 +2,9 @@
 
 A passage is found by its windows of ``WINDOW`` words. The key of a window is the smallest hash of its runs of ``GRAM``
 words (winnowing), so equal windows have equal keys and neighbouring windows mostly share one: about one row for eleven
-words travels to find the keys that occur again. Only the windows behind those keys are then compared, by 128 bits.
+words travels to find the keys that occur again. Only the windows behind those keys are then compared, by key and 64
+more bits. Neighbouring windows with one key are compared as one row where all runs of that key are equal, as they are
+inside a copied passage; they are listed one by one only where its runs differ, as at the ends of one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ _GRAMS = WINDOW - GRAM + 1
 _SALTS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 _RUNS = "doc_id long, key long, start long, n long"
-_WINDOWS = "w1 long, w2 long, doc_id long, word long, paragraph long, last_paragraph long"
+_WINDOWS = (
+    "key long, code long, twin boolean, n long, doc_id long, word long, paragraph long, last_paragraph long, "
+    "windows array<struct<code:long,paragraph:long,last_paragraph:long>>"
+)
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -83,7 +88,10 @@ def _each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray]]
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the wanted runs, without those that touch a line in ``gone``."""
+    """The wanted runs with their windows, cut where a window touches a line in ``gone``.
+
+    The code of a run is that of all its windows in order; a run in which two windows are equal is a ``twin``.
+    """
     for batch in batches:
         runs, gone, ids = batch.column("runs"), batch.column("gone"), batch.column("doc_id")
         for k, words, line in _each_text(batch):
@@ -96,13 +104,38 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lost = np.concatenate([[0], np.cumsum(np.isin(line, lines))])
                 wanted &= lost[WINDOW:] == lost[:n]
             at = np.flatnonzero(wanted)
-            if len(at):
-                codes = [as_long(_rolled(mix(words.hashes ^ np.uint64(s)), WINDOW)[at]) for s in _SALTS]
-                places = [x.astype(np.int64) for x in (at, line[at], line[at + WINDOW - 1])]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, codes), ids.take(pa.array(np.full(len(at), k))), *map(pa.array, places)],
-                    names=["w1", "w2", "doc_id", "word", "paragraph", "last_paragraph"],
-                )
+            if not len(at):
+                continue
+            key = _keys(words.hashes)[at]
+            code = _rolled(mix(words.hashes ^ np.uint64(_SALTS[0])), WINDOW)[at]
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])))
+            sizes = np.diff(np.append(first, len(at)))
+            run = np.repeat(np.arange(len(first)), sizes)
+            place = (np.arange(len(at)) - first[run]).astype(np.uint64)
+            whole = np.add.reduceat(mix(code + mix(place ^ np.uint64(_SALTS[1]))), first)
+            order = np.lexsort((code, run))
+            equal = (code[order][1:] == code[order][:-1]) & (run[order][1:] == run[order][:-1])
+            twin = np.zeros(len(first), dtype=bool)
+            twin[run[order][1:][equal]] = True
+            last = first + sizes - 1
+            places = [x.astype(np.int64) for x in (line[at], line[at + WINDOW - 1])]
+            windows = pa.StructArray.from_arrays(
+                [pa.array(as_long(code)), *map(pa.array, places)], names=["code", "paragraph", "last_paragraph"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_long(key[first])),
+                    pa.array(as_long(mix(whole + sizes.astype(np.uint64)))),
+                    pa.array(twin),
+                    pa.array(sizes.astype(np.int64)),
+                    ids.take(pa.array(np.full(len(first), k))),
+                    pa.array(at[first].astype(np.int64)),
+                    pa.array(places[0][first]),
+                    pa.array(places[1][last]),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), windows),
+                ],
+                names=["key", "code", "twin", "n", "doc_id", "word", "paragraph", "last_paragraph", "windows"],
+            )
 
 
 def _cut(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +165,27 @@ def _cut(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[pa.R
         yield out.select(columns)
 
 
+def _units(found: DataFrame) -> DataFrame:
+    """Rows of ``n`` neighbouring windows: two have a window in common only if their key and code are the same.
+
+    Equal windows have equal keys. So the runs of a key stay whole if all are equal and none has equal windows inside.
+    """
+    mixed = stage(
+        found.groupBy("key").agg(
+            F.min("code").alias("low"), F.max("code").alias("high"), F.max("twin").alias("twin")
+        ).where("low <> high or twin").select("key"),
+        "mixed_keys",
+    )
+    columns = ["key", "code", "doc_id", "word", "n", "paragraph", "last_paragraph"]
+    whole = found.join(mixed, "key", "left_anti").select(*columns)
+    single = found.join(mixed, "key", "left_semi").select("key", "doc_id", "word", F.posexplode("windows"))
+    return whole.unionByName(
+        single.select(
+            "key", "doc_id", (F.col("word") + F.col("pos")).alias("word"), F.lit(1).cast("long").alias("n"), "col.*"
+        )
+    )
+
+
 def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """Runs of words all of whose windows of ``WINDOW`` words occur again, in the same or another document.
 
@@ -160,19 +214,24 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None) -> DataFra
     else:
         lines = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("gone"))
         todo = todo.join(lines, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    windows = stage(todo.select("doc_id", "text", "runs", "gone").mapInArrow(_windows, _WINDOWS), "windows")
-    firsts = windows.groupBy("w1", "w2").agg(
-        F.min(F.struct("doc_id", "word", "paragraph")).alias("first"), F.max(F.struct("doc_id", "word")).alias("last")
-    ).where(f"last.doc_id <> first.doc_id or last.word >= first.word + {WINDOW}")
-    met = windows.join(firsts, ["w1", "w2"]).withColumn(
+    found = stage(todo.select("doc_id", "text", "runs", "gone").mapInArrow(_windows, _WINDOWS), "windows")
+    units = stage(_units(found), "units")
+    firsts = stage(
+        units.groupBy("key", "code").agg(
+            F.min(F.struct("doc_id", "word", "paragraph")).alias("first"), F.max(F.struct("doc_id", "word")).alias("last")
+        ).where(f"last.doc_id <> first.doc_id or last.word >= first.word + {WINDOW}").drop("last"),
+        "first_windows",
+    )
+    met = units.join(firsts, ["key", "code"]).withColumn(
         "removed", F.expr("not (doc_id = first.doc_id and word = first.word)")
     ).where(f"not removed or doc_id <> first.doc_id or word >= first.word + {WINDOW}")
     order = Window.partitionBy("doc_id", "removed").orderBy("word")
-    gap = F.coalesce(F.col("word") > F.lag("word").over(order) + WINDOW, F.lit(False))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.coalesce(F.col("word") > F.max(F.col("word") + F.col("n") - 1).over(before) + WINDOW, F.lit(False))
     spans = met.withColumn("_gap", gap.cast("int")).withColumn("_span", F.sum("_gap").over(order))
     return spans.groupBy("doc_id", "removed", "_span").agg(
         F.min("word").alias("from_word"),
-        (F.max("word") + WINDOW - F.min("word")).alias("n_words"),
+        (F.max(F.col("word") + F.col("n") - 1) + WINDOW - F.min("word")).alias("n_words"),
         F.min("paragraph").alias("paragraph"),
         (F.max("last_paragraph") - F.min("paragraph") + 1).alias("n_lines"),
         F.min_by("first", "word").alias("first"),

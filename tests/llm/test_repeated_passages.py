@@ -2,7 +2,9 @@
 
 import random
 
+from outletry.llm import passages
 from outletry.llm.passages import WINDOW, repeated_passages, repeats, without_passages
+from outletry.session import stage
 
 
 def brute(texts):
@@ -91,3 +93,35 @@ def test_passages_of_odd_rows(make_docs):
     assert repeated_passages(docs.limit(0)).count() == 0
     assert without_passages(docs).count() == 5
     assert without_passages(docs.limit(0)).count() == 0
+
+
+def test_partial_copies_and_loops_equal_brute_force(make_docs):
+    """Runs of a key that differ by copy: cut at other words, looping inside, beside a line already taken out."""
+    rng = random.Random(8)
+    long = [f"w{i}" for i in range(300)]
+    loop = [f"c{i % 30}" for i in range(130)]
+    texts = []
+    for k in range(30):
+        a = rng.randint(0, 200)
+        own = [f"x{k}y{i}" for i in range(rng.randint(0, 30))]
+        texts.append(" ".join(own + long[a : a + rng.randint(38, 100)] + own + loop[rng.randint(0, 60) :]))
+    texts += [" ".join(long), " ".join(["z"] + long + ["z"] + long[:60])]
+    later, firsts = brute(texts)
+    rows = repeated_passages(make_docs(texts)).collect()
+    assert spans(r for r in rows if r["removed"]) == later
+    assert spans(r for r in rows if not r["removed"]) == firsts
+
+
+def test_copies_are_compared_by_run_not_by_window(make_docs, monkeypatch):
+    """Inside a copied passage the windows that share a key travel as one row."""
+    seen = {}
+
+    def kept(df, name="stage", *rest):
+        seen[name] = stage(df, name, *rest)
+        return seen[name]
+
+    monkeypatch.setattr(passages, "stage", kept)
+    copy = " ".join(f"p{i}" for i in range(1000))
+    rows = repeated_passages(make_docs([f"a{k} {copy} b{k}" for k in range(4)])).collect()
+    assert {(r["doc_id"], r["from_word"], r["n_words"]) for r in rows} == {(k, 1, 1000) for k in range(4)}
+    assert seen["units"].count() < 4 * (1000 - WINDOW) / 4

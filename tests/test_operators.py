@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -543,3 +545,19 @@ def test_partitioned_stage_keeps_rows_and_setting(spark):
     df = spark.range(40).selectExpr("id", "cast(if(id % 4 = 3, null, id % 4) as string) AS kind")
     back = stage(df, "parts", ["kind"])
     assert sorted(back.collect(), key=lambda r: r["id"]) == df.collect() and spark.conf.get(name) == before
+
+
+def test_stage_leaves_no_shuffle_files(spark):
+    """The shuffle behind a staged table goes with the write; the setting of the session comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before, setting = files(), spark.conf.get(key)
+    df = spark.range(100000).selectExpr("id % 5000 AS k").groupBy("k").count()
+    back = stage(df, "counted")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key) == setting
+    assert back.count() == df.count() == 5000
