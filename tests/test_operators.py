@@ -1,5 +1,6 @@
 import random
 import re
+import threading
 import time
 
 import pytest
@@ -14,6 +15,7 @@ from outletry.operators.repeats import REPEAT, mark_repeats
 from outletry.plans import silver
 from outletry.session import stage
 from outletry.sources import readers, writers
+from outletry.workload.lake import Lake
 
 
 def quantile(values, q):
@@ -561,3 +563,19 @@ def test_stage_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(key) == setting
     assert back.count() == df.count() == 5000
+
+
+def test_layers_that_do_not_read_each_other_are_built_together(spark):
+    """Both sides wait for each other, so they would never end one by one; what both read is built once."""
+    met, built = threading.Barrier(2, timeout=60), []
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+    class Small(Lake):
+        base = property(lambda self: self._layer("base", lambda: built.append(1) or spark.range(3)))
+        left = property(lambda self: self._layer("left", lambda: self.base if met.wait() >= 0 else None))
+        right = property(lambda self: self._layer("right", lambda: self.base if met.wait() >= 0 else None))
+        top = property(lambda self: self._layer("top", lambda: self.left.unionAll(self.right), after=("left", "right")))
+
+    small = Small(spark, "none")
+    assert small.top.count() == small.top.count() == 6 and built == [1]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
