@@ -5,7 +5,8 @@ import re
 
 from outletry.llm import leaks
 from outletry.llm.leaks import contaminated, windows_of, without_leaks
-from outletry.llm.licences import NONE, fit, licences
+from outletry.llm.licences import NONE, UNKNOWN, fit, licences
+from outletry.llm.notices import NOTICES
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 UP = {c: c + 32 for c in range(65, 91)}
@@ -110,3 +111,26 @@ def test_every_document_teaches_what_is_no_licence(make_docs):
     weights = model.families.coefficientMatrix.toArray()[model.labels.labels.index(NONE)]
     # A word whose lines are all held for the calibration has no weight; 200 documents would reach 0.77.
     assert sum(weights[model.hashing.indexOf(w)] > 0 for w in own) >= 0.95 * len(own)
+
+
+def test_paragraphs_without_a_run_of_a_notice_are_classified(make_docs):
+    prose = "The cat sat on the mat and looked at the public library across the road for a while."
+    rows = licences(make_docs([f"{prose}\nLicense: Apache 2.0", prose, "Apache License"])).collect()
+    found = {(r["doc_id"], r["paragraph"]): r for r in rows}
+    assert set(found) == {(0, 1), (2, 0)}  # neither shares three words in a row with a notice
+    assert (found[0, 1]["family"], found[0, 1]["confirmed"]) == ("apache", True)
+    assert found[2, 0]["family"] in ("apache", UNKNOWN) and found[2, 0]["similarity"] == 1.0
+
+
+def test_similarity_counts_the_pairs_of_words(make_docs):
+    texts = ["Released under the terms of the MIT License.", "Released under the MIT License, released under the MIT License."]
+    rows = {r["doc_id"]: r for r in licences(make_docs(texts), {f: NOTICES[f] for f in ("mit", "bsd", "gpl")}).collect()}
+
+    def pairs(text):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        return set(zip(words, words[1:]))
+
+    for i, text in enumerate(texts):
+        among = NOTICES[rows[i]["family"]] if rows[i]["family"] != UNKNOWN else [t for f in ("mit", "bsd", "gpl") for t in NOTICES[f]]
+        best = max(len(pairs(n) & pairs(text)) / min(len(pairs(n)), len(pairs(text))) for n in among)
+        assert rows[i]["similarity"] == round(best, 6)
