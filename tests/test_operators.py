@@ -1,9 +1,11 @@
+import dataclasses
 import random
 import re
 import threading
 import time
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from outletry.config import DEFAULTS
@@ -579,3 +581,63 @@ def test_layers_that_do_not_read_each_other_are_built_together(spark):
     small = Small(spark, "none")
     assert small.top.count() == small.top.count() == 6 and built == [1]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_the_forest_splits_one_hot_columns_without_a_look_up_in_sets(spark):
+    n = 24_000
+    rows = spark.range(n).selectExpr(
+        "concat('O', id) Outlet_ID", "cast(id % 97 as double) x",
+        "case when id < 12 then 'once' when id % 2 = 0 then 'a' else 'b' end Outlet_Type",
+        "array('Small', 'Medium', 'Large')[cast(id % 3 as int)] Outlet_Size",
+    )
+    config = dataclasses.replace(DEFAULTS, trees=3, tree_depth=2)
+    few, many = (imputer.CategoryImputer(numeric=["x"], categorical=["Outlet_Type"], config=config).fit(r) for r in (rows.where("id < 3000"), rows))
+    for model, rare in ((few, []), (many, ["once"])):
+        prepared = model._features().fit(filled := model._filled(rows))
+        known = filled if model is many else filled.where("Outlet_ID in ('O1', 'O2')")
+        kinds = model._with_kinds(prepared.transform(known), prepared.stages[0].labelsArray).schema["_features"].metadata
+        said = kinds.get("ml_attr", {}).get("attrs", {})
+        assert "binary" not in said
+        names = ["x", *prepared.stages[0].labelsArray[0], None]
+        assert [names[a["idx"]] for a in said.get("nominal", [])] == rare
+        assert model.feature_importance(rows).count() == 5
+
+
+def test_rare_classes_of_a_one_hot_column_still_split(spark):
+    rows = spark.range(24_000).selectExpr(
+        "concat('O', id) Outlet_ID", "cast(0 as double) x", "if(id < 4, 'rare', 'a') Outlet_Type",
+        "case when id < 4 then 'Large' when id % 2 = 0 then 'Small' else 'Medium' end Outlet_Size",
+    )
+    model = imputer.CategoryImputer(
+        numeric=["x"], categorical=["Outlet_Type"], config=dataclasses.replace(DEFAULTS, trees=20, tree_depth=2)).fit(rows)
+    assert {r["predicted"] for r in model.predict(rows.where("Outlet_Type = 'rare'")).collect()} == {"Large"}
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    met, real = threading.Barrier(2), imputer.CategoryImputer.fit
+
+    def fit(self, known):
+        met.wait(120)  # broken if the second fold waits for the first
+        return real(self, known)
+
+    monkeypatch.setattr(imputer.CategoryImputer, "fit", fit)
+    rows = spark.range(60).selectExpr(
+        "concat('O', id) Outlet_ID", "cast(id as double) x", "if(id % 2 = 0, 'a', 'b') Outlet_Type",
+        "if(id % 3 = 0, 'Small', 'Large') Outlet_Size")
+    config = dataclasses.replace(DEFAULTS, trees=3, tree_depth=2, max_folds=2)
+    held = imputer.CategoryImputer(numeric=["x"], categorical=["Outlet_Type"], config=config).held_out_predictions(rows)
+    assert (held.count(), {r["fold"] for r in held.collect()}) == (60, {1, 2})
+
+
+def test_fits_of_all_group_counts_wait_in_one_queue(spark, monkeypatch):
+    met, real = threading.Barrier(2), clustering.KMeans.fit
+
+    def fit(self, rows, params=None):
+        met.wait(120)  # broken if the next count waits for the last fit of this one
+        return real(self, rows, params)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", fit)
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol=clustering.FEATURES).transform(
+        spark.range(60).selectExpr("cast(id % 3 * 100 as double) a", "cast(id % 5 as double) b"))
+    scores, best = clustering.search_k(rows, dataclasses.replace(DEFAULTS, k_min=2, k_max=3, search_restarts=1))
+    assert (best, [r["k"] for r in scores.collect()]) == (3, [3, 2])
