@@ -641,3 +641,20 @@ def test_fits_of_all_group_counts_wait_in_one_queue(spark, monkeypatch):
         spark.range(60).selectExpr("cast(id % 3 * 100 as double) a", "cast(id % 5 as double) b"))
     scores, best = clustering.search_k(rows, dataclasses.replace(DEFAULTS, k_min=2, k_max=3, search_restarts=1))
     assert (best, [r["k"] for r in scores.collect()]) == (3, [3, 2])
+
+
+def test_fits_of_groups_read_features_decoded_once(spark, monkeypatch):
+    seen, real = [], clustering.KMeans.fit
+
+    def fit(self, rows, params=None):
+        seen.append((rows.storageLevel.useMemory, "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()))
+        return real(self, rows, params)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", fit)
+    table = spark.range(60).selectExpr(
+        "concat('O', id) Outlet_ID", "cast(id % 3 * 100 as double) Latitude", "cast(id % 5 as double) Longitude",
+        "if(id % 2 = 0, 'a', 'b') Outlet_Type")
+    config = dataclasses.replace(DEFAULTS, k_min=2, k_max=3, search_restarts=2, final_restarts=2)
+    assert clustering.cluster_outlets(table, config).assigned.count() == 60
+    # Not held themselves, so that a fit keeps its own vectors, but read from the held features.
+    assert set(seen) == {(False, True)} and len(seen) == 6
